@@ -5,9 +5,11 @@ own size; each document is taken floor(rate) times for certain and once more wit
 rate's fraction as inclusion probability. The flight phase moves these probabilities,
 three documents at a time, along the null space of the two balancing constraints
 (tokens, documents) until one of the three is 0 or 1, so both totals stay as they were.
-Blocks of documents fly in parallel; the at most two documents that each block leaves
-fly again with those of other blocks, until one block per source is left, where the
-landing phase drops first the token constraint, then the document constraint.
+Documents come in descending order of size. One that stays undecided until much smaller
+ones arrive is moved with these along the token constraint alone, so that what is left is
+small. Blocks of documents fly in parallel, and the at most two that each leaves fly again
+with those of other blocks, until one block per source is left, where the landing phase
+drops the document constraint and draws the last document.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from siftspark.llm.common import cut, word_count
 BLOCK = 4096
 #: A mixture is configured per source; more sources than this are refused, since their targets are worked out on the driver.
 MAX_SOURCES = 100_000
+#: A document this many times larger than the next one is left behind: see above.
+BEHIND = 1.25
 EPS = 1e-9
 
 
@@ -59,6 +63,7 @@ class Flight:
         self.rng, self.units = random.Random(seed), []
 
     def _move(self, direction: tuple[float, ...]) -> list[tuple]:
+        """Moves the probabilities until one is 0 or 1, either way with the chance that keeps each one's mean."""
         up = down = math.inf
         for (_, p, _), d in zip(self.units, direction, strict=True):
             if d > 0:
@@ -70,11 +75,20 @@ class Flight:
         self.units = [u for u in moved if EPS < u[1] < 1 - EPS]
         return [(row, p > 0.5) for _, p, row in moved if not EPS < p < 1 - EPS]
 
+    def _exchange(self, i: int, j: int) -> list[tuple]:
+        """Moves units i and j along the token constraint alone."""
+        a, b = self.units[i][0], self.units[j][0]
+        direction = [0.0] * len(self.units)
+        direction[i], direction[j] = (b / max(a, b), -a / max(a, b)) if a or b else (1.0, -1.0)
+        return self._move(tuple(direction))
+
     def add(self, size: float, p: float, row) -> list[tuple]:
-        """The (row, taken) pairs that this unit's arrival decides."""
+        """The (row, taken) pairs that this unit's arrival decides; units come in descending order of size."""
         if not EPS < p < 1 - EPS:
             return [(row, p > 0.5)]
         self.units.append((size, p, row))
+        if len(self.units) > 1 and self.units[0][0] > BEHIND * size:
+            return self._exchange(0, len(self.units) - 1)
         if len(self.units) < 3:
             return []
         a, b, c = (u[0] for u in self.units)
@@ -82,10 +96,10 @@ class Flight:
         return self._move(((b - c) / top, (c - a) / top, (a - b) / top) if top else (1.0, -1.0, 0.0))
 
     def land(self) -> list[tuple]:
-        """Decides the last units: two keep their number (the token constraint is dropped), one is drawn."""
+        """Decides the last units: along the token constraint, then the one that is left is drawn."""
         out = []
         while len(self.units) > 1:
-            out += self._move((1.0, -1.0) + (0.0,) * (len(self.units) - 2))
+            out += self._exchange(0, 1)
         if self.units:
             _, p, row = self.units.pop()
             out.append((row, self.rng.random() < p))
@@ -107,17 +121,18 @@ def _fly(seed: int, turn: int, last: bool):
             else:
                 many.extend((*row, p, -1) for _, p, row in flight.units)
 
+        columns = ["at", "block", "id", "size", "many", "p", "taken"]
         for pdf in batches:
             many = []
-            for at, block, key, size, n, p in zip(pdf["at"], pdf["block"], pdf["id"], pdf["size"], pdf["many"], pdf["p"], strict=True):
+            for at, block, key, size, n, p in zip(*(pdf[c] for c in columns[:-1]), strict=True):
                 if (at, block) != group:
                     finish()
                     group, flight = (at, block), Flight(f"{seed}/{turn}/{at}/{block}")
                 many.extend((*row, float(t), int(t)) for row, t in flight.add(float(size * n), p, (at, block, key, size, n)))
-            yield pd.DataFrame(many, columns=["at", "block", "id", "size", "many", "p", "taken"])
+            yield pd.DataFrame(many, columns=columns)
         many = []
         finish()
-        yield pd.DataFrame(many, columns=["at", "block", "id", "size", "many", "p", "taken"])
+        yield pd.DataFrame(many, columns=columns)
 
     return run
 
@@ -144,7 +159,8 @@ def mix_decisions(docs: DataFrame, weights=cycle_weights, cap: float = 3.0, id_c
     ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
     rate = {s: min(goal[s] / sizes[s], cap) if sizes[s] else 0.0 for s in ordered}
     base = {s: math.floor(rate[s] + EPS) for s in ordered}
-    plan = spark.createDataFrame([(i, s, sizes[s], goal[s], base[s], max(0.0, rate[s] - base[s]), -(-next(r["units"] for r in found if r["source"] == s) // block)) for i, s in enumerate(ordered)], "at long, source string, source_size long, target double, base int, p double, blocks long")
+    about = {r["source"]: r for r in found}
+    plan = spark.createDataFrame([(i, s, sizes[s], goal[s], base[s], max(0.0, rate[s] - base[s]), -(-about[s]["units"] // block)) for i, s in enumerate(ordered)], "at long, source string, source_size long, target double, base int, p double, blocks long")
     if len(ordered) <= 10_000:  # a row is well under 1 kB: the plan is sent to all executors only below this size
         plan = F.broadcast(plan)
     flying = units.join(plan, units["source"].eqNullSafe(plan["source"])).select("at", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.greatest("blocks", F.lit(1))).alias("block"), F.col("id").cast("string").alias("id"), "size", "many", "p")
@@ -152,12 +168,12 @@ def mix_decisions(docs: DataFrame, weights=cycle_weights, cap: float = 3.0, id_c
     decided, turn = [], 0
     while True:
         last = blocks <= 1
-        dealt = flying.repartition("at", "block").sortWithinPartitions("at", "block", F.xxhash64(F.lit(seed), F.col("id")), "id", "size")
+        dealt = flying.repartition("at", "block").sortWithinPartitions("at", "block", -F.col("size") * F.col("many"), F.xxhash64(F.lit(seed), F.col("id")), "id", "size")
         flown = cut(dealt.mapInPandas(_fly(seed, turn, last), FLOWN))
         decided.append(flown.where("taken >= 0").select("at", "id", "size", "many", "taken"))
         if last:
             break
-        turn, blocks = turn + 1, -(-blocks * 2 // block)
+        turn, blocks = turn + 1, -(-blocks // block)
         flying = flown.where("taken < 0").select("at", F.pmod(F.xxhash64(F.lit(seed + turn), F.col("id")), F.lit(blocks)).alias("block"), "id", "size", "many", "p")
     out = decided[0]
     for more in decided[1:]:
