@@ -10,8 +10,10 @@ no shuffle, and a pool of bounded size whatever the input.
 
 from __future__ import annotations
 
+import string
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,49 +27,66 @@ from pyspark.sql import functions as F
 #: Pending examples of a task.
 POOL = 256
 #: Cached words of a tokenizer, after which the cache starts anew, and the longest word that is cached.
-CACHE, LONGEST = 300_000, 40
-#: Texts whose unknown words are encoded together.
+CACHE, LONGEST = 500_000, 40
+#: Texts that are taken from a batch at once.
 TEXTS = 128
 END = 2
 
 
-class Encoder:
+class Encoder(dict):
     """Token ids of texts; a text's stretches between blanks and newlines are encoded once and remembered.
 
     Exact for tokenizers whose pre-tokens never reach over a blank or newline and whose
-    normaliser works on each of them alone.
+    normaliser works on each of them alone. A stretch of letters, with or without
+    punctuation after it, is one pre-token or two: of these the letters go to the
+    tokenizer's model directly, in lower case and as the byte alphabet that it is made of.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-
-    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of words not known yet; a comma or full stop after a letter is a pre-token of its own, ASCII case does not count."""
-        parts = {}
-        for word in words:
-            plain = word.lower() if word.isascii() else word
-            parts[word] = (plain[:-1], plain[-1]) if len(plain) > 1 and plain[-1] in ",." and plain[-2].isalpha() else (plain, "")
-        new = list({p for pair in parts.values() for p in pair} - self.known.keys())
-        found = dict(zip(new, (tuple(x.ids) for x in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        get = lambda p: found[p] if p in found else self.known[p]
-        out = {word: get(a) + get(b) for word, (a, b) in parts.items()}
-        return {p: ids for p, ids in found.items() if p not in out} | out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": ()}
-        learnt = self._learn(set(chain.from_iterable(split)) - self.known.keys())
-        self.known |= {w: ids for w, ids in learnt.items() if len(w) <= LONGEST}
-        if long := {w: ids for w, ids in learnt.items() if len(w) > LONGEST}:
-            lookup = lambda w: long[w] if w in long else self.known[w]
+        self.by_letters = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer)
+        self.cores: dict[str, tuple[int, ...]] = {}
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: these stand for themselves, the rest for 256 and up
+        self.alphabet = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*printed}))}
+
+    def _plain(self, text: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, key: str, encode) -> tuple[int, ...]:
+        if (ids := self.cores.get(key)) is None:
+            ids = encode(key)
+            if len(key) <= LONGEST:
+                self.cores[key] = ids
+        return ids
+
+    def _letters(self, word: str) -> tuple[int, ...]:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        core = word.rstrip(string.punctuation)
+        if not word:
+            ids: tuple[int, ...] = ()
+        elif self.by_letters and core.isalpha() and core.lower().isalpha() and (core.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
+            ids = self._part(core.lower(), self._letters)
+            if len(core) < len(word):
+                ids += self._part(word[len(core) :], self._plain)
         else:
-            lookup = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(lookup, words)), np.uint32) for words in split]
+            ids = self._plain(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        if len(self.cores) > CACHE:
+            self.cores.clear()
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
 
 def _encoder(path: str) -> Encoder:
@@ -185,18 +204,18 @@ def _pack(kind: str, path: str | None, limits: tuple[int, int, int], with_ids: b
         def batch_of() -> pa.RecordBatch:
             columns = [pa.array([x[k] for x in many], pa.int64()) for k in range(1, 8)]
             extra = [pa.array([x[8] for x in many], pa.list_(pa.int64()))] if with_ids else []
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in many], types), *columns, *extra], names=["id", *(c.split()[0] for c in PIECES.split(", ")), *(["ids"] if with_ids else [])])
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in many], kind_of), *columns, *extra], names=["id", *(c.split()[0] for c in PIECES.split(", ")), *(["ids"] if with_ids else [])])
             many.clear()
             return out
 
-        types = None
+        kind_of, encoder = None, None if path is None else _encoder(path)
         for batch in batches:
-            types = batch.schema.field(0).type
+            kind_of = batch.schema.field(0).type
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 keys = part.column(0).to_pylist()
-                if path is not None:
-                    found = [(np.append(ids, np.uint32(END)), None) for ids in _encoder(path).encode([t or "" for t in part.column(1).to_pylist()])]
+                if encoder is not None:
+                    found = [(np.append(encoder.encode(t or ""), np.uint32(END)), None) for t in part.column(1).to_pylist()]
                 else:
                     found = [(np.asarray(ids or [], np.uint32), None if mask is None else np.concatenate(([0], np.cumsum([bool(m) for m in mask])))) for ids, mask in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 for key, (ids, cumulative) in zip(keys, found, strict=True):
