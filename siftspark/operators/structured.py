@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from siftspark.functions.text import java, line_of, strip_json_comments, tail
 from siftspark.operators.lines import LAYERS
@@ -147,7 +148,7 @@ def json_files(files: DataFrame) -> DataFrame:
     return chosen.withColumn("cleaned", F.when(F.col("path").rlike(JSONC), strip_json_comments(F.col("text"))).otherwise(F.col("text"))).withColumn("valid", _json_ok(F.col("cleaned")))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _error_line(texts: pd.Series) -> pd.Series:
     def line(text: str) -> int:
         try:

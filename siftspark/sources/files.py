@@ -39,10 +39,36 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     base = full.rpartition("/")[0] if fs.getFileStatus(path).isFile() else full.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MOST_BYTES)
     relative = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^[a-z0-9]+:(//[^/]*)?", "")), "^" + re.escape(base) + "/", "")
-    rows = found.select(relative.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    rows = found.select(relative.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text")).unionByName(_hidden_files(spark, fs, path, base))
     return rows.select("path", "size", detect_language(F.col("path")).alias("language"), "text")
 
 
+def _hidden_files(spark: SparkSession, fs, root, base: str) -> DataFrame:
+    """Files with a part of their path that begins with . or _, which Spark's readers pass over: listed on the driver, read on executors."""
+    found, listing = [], fs.listFiles(root, True)
+    while listing.hasNext():
+        status = listing.next()
+        uri = status.getPath().toUri()
+        relative = uri.getPath()[len(base) + 1 :]
+        if status.getLen() <= MOST_BYTES and any(part[:1] in "._" for part in relative.split("/")) and not set(relative.split("/")[:-1]) & set(IGNORED_DIRS):
+            found.append((relative, status.getPath().toString(), status.getLen()))
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            texts = []
+            for uri in batch.column(1).to_pylist():
+                store, at = pafs.FileSystem.from_uri(uri.replace(" ", "%20"))
+                with store.open_input_stream(at, compression=None) as stream:
+                    texts.append(stream.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], names=["path", "size", "text"])
+
+    listed = spark.createDataFrame(found, "path string, uri string, size long")
+    return listed.mapInArrow(read, "path string, size long, text string")
+
+
 def from_table(rows: DataFrame, path: Column, text: Column) -> DataFrame:
     """Any table of texts as files."""
     return rows.select(path.alias("path"), F.octet_length(text).cast("long").alias("size"), detect_language(path).alias("language"), text.alias("text"))
