@@ -81,6 +81,8 @@ def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
     distinct = keyed.select("key").distinct().select("key", _block(F.col("key"), blocks).alias("block"), _bits(F.col("key")).alias("bits"))
     passed = distinct.join(filter_, F.col("block") == F.col("b")).where(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits")).select("key")
     exact = passed.join(F.broadcast(listed) if size <= LIST_SENT else listed, "key")
+    if size <= LIST_SENT:  # keys are distinct here, so exact has no more rows than the list
+        exact = F.broadcast(exact)
     best = F.struct("long", "host_long", (F.col("verdict") == "block").cast("int").alias("strict"), "rule", "verdict")
     return keyed.join(exact, "key").groupBy("url").agg(F.max(best).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
