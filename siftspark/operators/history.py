@@ -75,6 +75,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("mode", "DROPMALFORMED").json(path)
 
 
+def rewrite_corpus(spark: SparkSession, path: str, new_path: str) -> None:
+    """Writes the corpus at path without repeats to new_path."""
+    dedupe_corpus(read_corpus(spark, path)).write.mode("overwrite").json(new_path)
+
+
 def dedupe_corpus(rows: DataFrame) -> DataFrame:
     """The first row per hash, by collection time and place."""
     first = Window.partitionBy("hash").orderBy(F.col("collected_at").asc_nulls_first(), F.col("source_repo").asc_nulls_first(), F.col("context_path").asc_nulls_first(), "snippet")
@@ -99,6 +104,7 @@ def manifest(previous: DataFrame | None, rows: DataFrame, run_at: str | None) ->
 
 KB = "signature string, rule_id string, probe string, language string, severity string, title string, tags array<string>, fix_hint string, template string, examples array<string>, count long, first_seen string, last_seen string, status string"
 MOST_EXAMPLES = 5
+REPORTED = "probe:string,rule_id:string,severity:string,title:string,message:string,file:string,line:int,column:int,snippet:string,language:string,fix_hint:string,confidence:double,tags:array<string>,signature:string"
 
 
 def observe(findings: DataFrame, run_at: str | None = None) -> DataFrame:
@@ -136,6 +142,17 @@ def load_kb(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def save_kb(kb: DataFrame, new_path: str) -> None:
+    """Writes a knowledge base to a path of its own: the one that was read must stay until this is done."""
+    kb.write.mode("overwrite").json(new_path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of a written JSON report, as a run sees them, so that its signatures can be learned."""
+    rows = spark.read.schema(f"findings array<struct<{REPORTED}>>").json(path, multiLine=True).select(F.explode("findings").alias("f")).select("f.*")
+    return rows.where("signature is not null").select("*", F.lit(0).alias("layer_ord"), F.lit(0).alias("probe_ord"), F.lit(0).alias("rule_ord"))
+
+
 def promote(kb: DataFrame, least: int = 3) -> DataFrame:
     """The knowledge base in which signatures seen least times are candidates for rules."""
     return kb.withColumn("status", F.when((F.col("status") == "observed") & (F.col("count") >= least), "candidate-rule").otherwise(F.col("status")))

@@ -32,6 +32,16 @@ def jsonl(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*public), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def default_floor(kind: str) -> str:
+    """The least severity that a report of a kind shows unless asked otherwise."""
+    return "info" if kind in ("json", "jsonl") else "low"
+
+
+def write_by_repo(findings: DataFrame, path: str) -> None:
+    """All findings of a sweep as JSON lines, a folder for each repository."""
+    findings.drop("layer_ord", "probe_ord", "rule_ord").write.mode("overwrite").partitionBy("repo").json(path)
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """SARIF results as structs; line and column count from 1."""
     region = F.struct(F.coalesce(F.nullif("line", F.lit(0)), F.lit(1)).alias("startLine"), F.coalesce(F.nullif("column", F.lit(0)), F.lit(1)).alias("startColumn"))

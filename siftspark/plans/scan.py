@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -71,9 +72,31 @@ def _group_probe(probe_id: str) -> Probe:
 
 
 def _custom(c: Context) -> DataFrame:
+    """Matches of custom rules, and findings for a rule file that does not load and for patterns that do not compile."""
+    source = F.lit(c.options.get("custom_source") or "(custom rules)")
     rules, bad = line_ops.custom_rule_table(c.spark, c.options.get("custom_rules") or [])
-    out = line_ops.scan_custom(c.lines, rules)
-    return out
+    faults = [("custom-rules-invalid", "Custom rules file is invalid", c.options["custom_error"])] if c.options.get("custom_error") else []
+    faults += [("custom-rule-bad-regex", f'Custom rule "{id_}" has an invalid regex', error) for id_, error in bad]
+    told = c.spark.createDataFrame(faults, "r string, t string, m string").select(*structured.finding([], "static/custom-rules", F.col("r"), "low", F.col("t"), F.col("m"), source, 0.9, "Correct the rule.", ("config",), 10))
+    found = line_ops.scan_custom(c.lines, rules)
+    for name in [x for x in found.columns if x not in told.columns]:  # partition columns such as repo
+        told = told.withColumn(name, F.lit(None).cast(found.schema[name].dataType))
+    return found.unionByName(told)
+
+
+def _computed(spark: SparkSession, found: DataFrame, probe: str, seconds: float | None) -> DataFrame:
+    """found computed on its own and written to the shared folder; its jobs are interrupted after seconds."""
+    tag = f"probe-{probe}".replace("/", "-").replace(",", "-")
+    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag)) if seconds else None
+    spark.addTag(tag)
+    try:
+        if timer:
+            timer.start()
+        return found.checkpoint(eager=True)
+    finally:
+        spark.removeTag(tag)
+        if timer:
+            timer.cancel()
 
 
 def _self_check(c: Context) -> DataFrame:
@@ -124,12 +147,13 @@ class Result:
     findings_before_dedupe: DataFrame | None = None
 
 
-def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: bool = False, only: DataFrame | None = None, globs: list[str] = (), custom_rules: list[dict] | None = None, command_results: DataFrame | None = None, extra_probes=(), baseline: DataFrame | None = None, least: str = "info", marker: str = kept.MARKER, isolate: bool = False, walked: bool = False) -> Result:
+def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: bool = False, only: DataFrame | None = None, globs: list[str] = (), custom_rules: list[dict] | None = None, command_results: DataFrame | None = None, extra_probes=(), baseline: DataFrame | None = None, least: str = "info", marker: str = kept.MARKER, custom_error: str | None = None, isolate: bool = False, probe_seconds: float | None = None, walked: bool = False) -> Result:
     """Scans files (path, size, language, text; a column repo keeps repositories apart).
 
     Probes are planned one by one; one that fails is recorded in errors and the rest go
     on. With isolate, each probe's findings are also computed on their own, so that
-    failures at run time are caught as well (for probes from elsewhere).
+    failures at run time are caught as well (for probes from elsewhere), and one that takes
+    over probe_seconds is stopped.
     """
     registry = build_registry()
     for p in extra_probes:
@@ -139,13 +163,13 @@ def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: boo
     if only is not None and only.take(1):
         seen = sources.only_files(seen, only)
     lines = sources.lines(seen)
-    context = Context(spark, seen, lines, {"custom_rules": custom_rules, "command_results": command_results, "exec": exec_})
+    context = Context(spark, seen, lines, {"custom_rules": custom_rules, "custom_error": custom_error, "command_results": command_results, "exec": exec_})
     chosen = registry.select(probes, layers, exec_=exec_)
     parts, errors = [], {}
     if groups := tuple(g for p in chosen for g in p.groups):
         parts.append(line_ops.scan_lines(lines, groups))
     for probe in chosen:
-        if probe.id == "dynamic/build" and command_results is None or probe.id == "static/custom-rules" and not custom_rules:
+        if probe.id == "dynamic/build" and command_results is None or probe.id == "static/custom-rules" and not (custom_rules or custom_error):
             continue
         began = time.time()
         try:
@@ -155,7 +179,7 @@ def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: boo
             if "repo" in files.columns and "repo" not in found.columns:
                 found = found.withColumn("repo", F.lit(None).cast("string"))
             if isolate:
-                found = found.checkpoint(eager=True)
+                found = _computed(spark, found, probe.id, probe_seconds)
             parts.append(found)
             events.append((probe.id, f"done in {time.time() - began:.3f} s"))
         except Exception as e:  # a probe's fault must not end the scan

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,31 @@ def test_stream_of_files(spark, tmp_path):
     kb = spark.read.parquet(f"{tmp_path}/kb/version=1").collect()
     assert [(r["rule_id"], r["count"], r["examples"]) for r in kb] == [("eval-use", 2, ["a0.js", "a1.js"])]
     assert spark.read.parquet(f"{tmp_path}/found").count() == 2
+
+
+def test_rule_faults_become_findings(spark):
+    files = files_of(spark, {"a.js": "x;"})
+    bad = [{"id": "b", "pattern": "(", "severity": "low", "title": "t"}]
+    assert {r["rule_id"] for r in scan(spark, files, probes=("static/custom-rules",), custom_rules=bad).findings.collect()} == {"custom-rule-bad-regex"}
+    assert {r["rule_id"] for r in scan(spark, files, probes=("static/custom-rules",), custom_error="no list").findings.collect()} == {"custom-rules-invalid"}
+
+
+def test_slow_probes_are_stopped(spark):
+    def slow(c):
+        def wait(batches):
+            time.sleep(60)
+            yield from batches
+
+        found = line_ops.scan_lines(c.lines, (catalog.JS,))
+        return found.mapInArrow(wait, found.schema)
+
+    began = time.time()
+    result = scan(spark, files_of(spark, {"a.js": "eval(x)"}), probes=("static/dangerous-js", "mine/slow"), extra_probes=(Probe("mine/slow", "slow", slow),), isolate=True, probe_seconds=8)
+    assert "mine/slow" in result.errors and time.time() - began < 50
+
+
+def test_report_is_read_again(spark, tmp_path):
+    found = scan(spark, files_of(spark, {"a.js": "eval(x);"}), probes=("static/dangerous-js",)).findings
+    (tmp_path / "r.json").write_text(report.render(found, "json"))
+    seen = history.observe(history.read_report(spark, f"{tmp_path}/r.json"))
+    assert seen.first()["signature"] == found.first()["signature"] and seen.first()["count"] == 1
