@@ -35,6 +35,7 @@ CHUNK = 1 << 20
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, records long, bytes long"
+REVISITS = "array<struct<nth:long,refers_to:string>>"
 RECORDS = "record_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, archive string, offset long, length long, intact boolean"
 
 
@@ -103,53 +104,78 @@ def records_of(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         del have[: at + 4 + size + 4]
 
 
+def as_revisit(head: bytes, block: bytes, refers_to: str) -> tuple[bytes, bytes]:
+    """Header and block of a response turned into a revisit of refers_to: the block keeps its HTTP header alone."""
+    http = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
+    kept = [line for line in head.split(b"\r\n")[1:] if not line.lower().startswith((b"warc-type:", b"content-length:"))]
+    added = [f"WARC-Type: revisit\r\nWARC-Refers-To: <urn:page:{_line(refers_to)}>\r\nWARC-Profile: {PROFILE}\r\nContent-Length: {len(http)}".encode()]
+    return b"\r\n".join([VERSION, *kept, *added]), http
+
+
 def _write(folder: str, date: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
-        name, count, out, done = "", 0, None, []
+        name, raw, nth, archives, out = "", 0, 0, 0, None
         task = TaskContext.get()
         for batch in batches:
-            for key, uri, payload, refers in zip(*batch.columns, strict=True):
+            done = []
+            for key, uri, payload in zip(*batch.columns, strict=True):
                 if out is None:
-                    name, count, raw, deflate = f"{folder}/mono-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz", 0, 0, zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out = fs.open_output_stream(f"{top}/{name.rpartition('/')[2]}", compression=None)
-                data = record(str(key.as_py()), uri.as_py(), payload.as_py(), date, refers.as_py())
+                    name, raw, nth, deflate = f"mono-{task.partitionId():06d}-{task.taskAttemptId()}-{archives:04d}.warc.gz", 0, 0, zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out, archives = fs.open_output_stream(f"{top}/{name}", compression=None), archives + 1
+                body = payload.as_py()
+                data = record(str(key.as_py()), uri.as_py(), body, date)
                 out.write(deflate.compress(data))
-                raw, count = raw + len(data), count + 1
+                done.append((f"{folder}/{name}", nth, digest32(body), len(body)))
+                raw, nth = raw + len(data), nth + 1
                 if raw >= limit:
                     out.write(deflate.flush())
                     out.close()
-                    done.append((name, count, raw))
                     out = None
+            columns = [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "archive", "nth", "digest", "size"])
         if out is not None:
             out.write(deflate.flush())
             out.close()
-            done.append((name, count, raw))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
 
     return run
 
 
 def write_monolithic(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes rows (key, uri, payload, refers_to) as archives of one gzip stream each; returns their manifest, in place."""
-    rows = pages.select(F.col("key").cast("string"), "uri", "payload", F.col("refers_to").cast("string"))
-    return cut(rows.mapInArrow(_write(folder, date, limit), MANIFEST))
+    """Writes rows (key, uri, payload) as response records to archives of one gzip stream each.
+
+    Returns a row per record: key, archive, nth (its place there), digest, size. Pages are
+    written by the task that reads them; payloads are not shuffled.
+    """
+    kind = pages.schema["key"].dataType.simpleString()
+    return cut(pages.select("key", "uri", "payload").mapInArrow(_write(folder, date, limit), f"key {kind}, archive string, nth long, digest string, size long"))
 
 
-def _normalise(folder: str, remove: bool):
+def revisits_of(records: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(archive, revisits) of all archives of records: which become revisits, and of what. An archive's list is bounded by the archive's size."""
+    first = records.groupBy("digest", "size").agg(F.min("key").alias("first")).withColumnRenamed("digest", "_d").withColumnRenamed("size", "_n")
+    marked = records.join(first, (records["digest"] == first["_d"]) & (records["size"] == first["_n"]))
+    again = (F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+    return marked.groupBy("archive").agg(F.sort_array(F.collect_list(F.when(again, F.struct("nth", F.col("first").cast("string").alias("refers_to"))))).alias("revisits"))
+
+
+def _normalise(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
+        out_fs, top = pafs.FileSystem.from_uri(folder)
+        out_fs.create_dir(top, recursive=True)
         for batch in batches:
             done = []
-            for archive in batch.column(0).to_pylist():
+            for archive, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, source = pafs.FileSystem.from_uri(archive)
-                out_fs, top = pafs.FileSystem.from_uri(folder)
-                out_fs.create_dir(top, recursive=True)
                 name = f"{source.rpartition('/')[2].removeprefix('mono-').removesuffix('.warc.gz')}-{task.taskAttemptId()}.warc.gz"
+                again = {x["nth"]: x["refers_to"] for x in revisits or ()}
                 offset = count = 0
                 with fs.open_input_stream(source, compression=None) as stream, out_fs.open_output_stream(f"{top}/{name}", compression=None) as out, out_fs.open_output_stream(f"{top}/{name}.idx", compression=None) as index:
                     for head, block in records_of(inflated(stream.read)):
+                        if count in again:
+                            head, block = as_revisit(head, block, again[count])
                         deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = deflate.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
                         out.write(member)
@@ -172,16 +198,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def normalise(manifest: DataFrame, folder: str, remove: bool = False) -> DataFrame:
-    """Rewrites the manifest's archives with a gzip member for each record and a sidecar .idx; returns the new manifest.
+    """Rewrites the archives of manifest (archive[, revisits]) with a gzip member for each record and a sidecar .idx; returns their manifest.
 
     A sidecar line is JSON: offset, length, record id, type, target URI. Archives of one
-    member, of many members and empty ones are read alike. With remove, the inputs are
-    deleted once all archives are rewritten.
+    member, of many members and empty ones are read alike. Records that revisits names by
+    their place become revisit records. With remove, the inputs are deleted once all are
+    rewritten.
     """
-    spread = manifest.select("archive").repartition(max(1, manifest.rdd.getNumPartitions()), F.xxhash64("archive"))
-    new = cut(spread.mapInArrow(_normalise(folder, remove), MANIFEST))
+    revisits = F.col("revisits") if "revisits" in manifest.columns else F.lit(None)
+    sources = cut(manifest.select("archive", revisits.cast(REVISITS).alias("revisits")).repartition(F.xxhash64("archive")))
+    new = cut(sources.mapInArrow(_normalise(folder), MANIFEST))
     if remove:
-        manifest.select("archive").mapInArrow(_remove, "archive string").count()
+        sources.select("archive").mapInArrow(_remove, "archive string").count()
     return new
 
 
@@ -236,9 +264,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, key_col: str = "p
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(key_col).alias("key"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    first = rows.groupBy("digest", "size").agg(F.min("key").alias("first")).withColumnRenamed("digest", "_d").withColumnRenamed("size", "_n")
-    marked = rows.join(first, (rows["digest"] == first["_d"]) & (rows["size"] == first["_n"]))
-    again = (F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    written = write_monolithic(marked.select("key", "uri", "payload", F.when(again, F.col("first")).alias("refers_to")), f"{folder}/mono")
-    return normalise(written, f"{folder}/records", remove=True)
+    rows = pages.select(F.col(key_col).alias("key"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    written = write_monolithic(rows, f"{folder}/mono")
+    return normalise(revisits_of(written, least_bytes), f"{folder}/records", remove=True)
