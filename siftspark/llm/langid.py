@@ -9,17 +9,18 @@ taken for a batch of texts at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Learning rows: at most this many texts of each language, the first by hashed text; of these the first are landmarks.
 ROWS, LANDMARKS = 400, 48
+#: Languages at most: each has its own weights. Parts into which hashes are dealt to take a share of them.
+MOST_LANGUAGES, PARTS = 500, 1_000_000
 #: Characters of a text whose n-grams are numbered at once.
 CHUNK = 1 << 20
 #: Letters' bytes map to 1 and up, all other ASCII to 0: lower-cased a-z, then the bytes of non-ASCII characters.
@@ -73,17 +74,21 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model | None:
     """Learns from docs' texts and non-null languages; None where there is none.
 
-    Of each language at most rows distinct texts are used, first by hashed text, so that
-    reruns agree; landmarks of these span the approximation. The rest are bounded by that.
+    Of each language at most rows distinct texts are used, the first by hashed text of a
+    share that is dealt by another hash, so that reruns agree; landmarks of these span the
+    approximation. All else is bounded by that.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("key"), "text")
-    # the rows numbered rows or less under each language, found on keys alone; each task first keeps its own
-    keys = texts.select("lang", "key").distinct()
-    part = keys.withColumn("salt", F.pmod(F.col("key"), F.lit(64)))
-    from pyspark.sql import Window
-
-    first = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key"))).where(F.col("r") <= rows)
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= rows).select("lang", "key", "r")
+    counted = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counted:
+        return None
+    # a share of each language by hashed text, some four times the rows wanted, so that what is sorted is as small for any input
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counted.items() for x in (lang, min(PARTS, -(-4 * rows * PARTS // n))))), F.col("lang"))
+    keys = texts.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) < share).select("lang", "key").distinct()
+    first = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= rows)
+    # first has at most rows keys for each of MOST_LANGUAGES languages: some MB
     chosen = texts.join(F.broadcast(first), ["lang", "key"]).groupBy("lang", "key", "r").agg(F.first("text").alias("text"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
 
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _identify(model: Model | None):
@@ -126,7 +130,7 @@ def _identify(model: Model | None):
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                known = [model is not None and _LETTER.search(t) is not None for t in texts]
+                known = [model is not None and any(map(str.isalpha, t)) for t in texts]
                 langs, values = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if rows := [k for k, x in enumerate(known) if x]:
                     best, score = model.predict([presence(texts[k].encode()) for k in rows])
