@@ -86,15 +86,15 @@ def _custom(c: Context) -> DataFrame:
 
 def _computed(spark: SparkSession, found: DataFrame, probe: str, seconds: float | None) -> DataFrame:
     """found computed on its own and written to the shared folder; its jobs are interrupted after seconds."""
-    tag = f"probe-{probe}".replace("/", "-").replace(",", "-")
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag)) if seconds else None
-    spark.addTag(tag)
+    group = f"probe {probe} {time.time()}"
+    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup(group)) if seconds else None
+    spark.sparkContext.setJobGroup(group, f"probe {probe}", interruptOnCancel=True)
     try:
         if timer:
             timer.start()
         return found.checkpoint(eager=True)
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         if timer:
             timer.cancel()
 
