@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -65,7 +66,8 @@ def main() -> int:
         for p in build_registry().select(exec_=True):
             print(f"{p.layer:<8} {p.id:<24} {p.title}")
         return 0
-    spark = SparkSession.builder.appName("siftspark").getOrCreate()
+    cores = str(os.cpu_count() or 8)
+    spark = SparkSession.builder.appName("siftspark").config("spark.sql.shuffle.partitions", cores).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     if a.command == "learn":
         seen = history.observe(history.read_report(spark, a.report))
         history.save_kb(history.upsert(_kb(spark, a.kb), seen), f"{a.kb}.new")
@@ -89,7 +91,7 @@ def main() -> int:
         worst.show(100, truncate=False)
         return 0
     result = _scan(spark, a, files)
-    found = result.findings
+    found = result.findings.persist()
     if a.command == "baseline":
         target = Path(a.baseline or Path(a.path, HOME, "baseline.json"))
         target.parent.mkdir(parents=True, exist_ok=True)
