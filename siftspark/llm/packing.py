@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pending examples of a task.
 POOL = 256
-#: Cached words of a tokenizer, after which the cache starts anew, and the longest word that is cached.
-CACHE, LONGEST = 500_000, 40
+#: Words and cores (words without punctuation, in lower case) of a generation of an encoder's cache, which holds this one and the last; the longest word that is cached.
+WORDS, CORES, LONGEST = 40_000, 150_000, 40
 #: Texts that are taken from a batch at once.
 TEXTS = 128
 END = 2
@@ -49,7 +49,9 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_letters = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer)
+        self.old: dict[str, tuple[int, ...]] = {}  # the last generation: what is used of it moves on, the rest goes with it
         self.cores: dict[str, tuple[int, ...]] = {}
+        self.old_cores: dict[str, tuple[int, ...]] = {}
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: these stand for themselves, the rest for 256 and up
         self.alphabet = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*printed}))}
 
@@ -58,8 +60,11 @@ class Encoder(dict):
 
     def _part(self, key: str, encode) -> tuple[int, ...]:
         if (ids := self.cores.get(key)) is None:
-            ids = encode(key)
+            if (ids := self.old_cores.get(key)) is None:
+                ids = encode(key)
             if len(key) <= LONGEST:
+                if len(self.cores) >= CORES:
+                    self.old_cores, self.cores = self.cores, {}
                 self.cores[key] = ids
         return ids
 
@@ -68,24 +73,28 @@ class Encoder(dict):
         return tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if (ids := self.old.get(word)) is not None:
+            return self._keep(word, ids)
         core = word.rstrip(string.punctuation)
         if not word:
-            ids: tuple[int, ...] = ()
+            ids = ()
         elif self.by_letters and core.isalpha() and core.lower().isalpha() and (core.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
             ids = self._part(core.lower(), self._letters)
             if len(core) < len(word):
                 ids += self._part(word[len(core) :], self._plain)
         else:
             ids = self._plain(word)
+        return self._keep(word, ids)
+
+    def _keep(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        if len(self.cores) > CACHE:
-            self.cores.clear()
         return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
 
