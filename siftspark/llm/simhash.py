@@ -128,8 +128,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---- near duplicates by shingle similarity, with the balls as candidate search
 
 
-def _sketch(tables: int, bits: int):
-    """Fingerprints over distinct words, table t's with t above its low bits."""
+def _sketch(words: int, tables: int, bits: int):
+    """The number of distinct words-word shingles, and fingerprints over distinct words, table t's with t above its low bits."""
     seeds = -(-tables * bits // 128)
 
     def fold_words(data: bytes) -> list[int]:
@@ -145,24 +145,28 @@ def _sketch(tables: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fold_words(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["id", "digest", "fps"])
+            sizes, fps = [], []
+            for x in batch.column(2):
+                sizes.append(len(_features(x.as_py(), words)))
+                fps.append(fold_words(x.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "digest", "size", "fps"])
 
     return run
 
 
-def _verify(words: int, least: float):
-    def features(data: bytes) -> set[int]:
-        return {xxhash.xxh64_intdigest(x) for x in shingles(data, words)}
+def _features(data: bytes, words: int) -> set[int]:
+    return {xxhash.xxh64_intdigest(x) for x in shingles(data, words)}
+
 
+def _verify(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = None, set()
         for batch in batches:
             keep = []
             for src, dst, a, b in zip(*batch.columns, strict=True):
                 if dst.as_py() != held:
-                    held, of = dst.as_py(), features(b.as_py())
-                mine = features(a.as_py())
+                    held, of = dst.as_py(), _features(b.as_py(), words)
+                mine = _features(a.as_py(), words)
                 both = len(mine & of)
                 if both >= least * (len(mine) + len(of) - both):
                     keep.append((src.as_py(), held))
@@ -191,18 +195,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the md5 of that one's text. An empty table gives no rows.
     """
     texts = _texts(docs, id_col, text_col)
-    sketched = texts.mapInArrow(_sketch(tables, bits), "id long, digest string, fps array<long>").groupBy("digest").agg(F.min("id").alias("id"), F.first("fps").alias("fps"))
-    nodes = cut(sketched.select("digest", "id", "fps", F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("digest").alias("node")))
+    sketched = texts.mapInArrow(_sketch(words, tables, bits), "id long, digest string, size long, fps array<long>").groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
+    nodes = cut(sketched.select("digest", "id", "size", "fps", F.coalesce("id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("digest").alias("node")))
     held = nodes.select("node", "rank", F.explode("fps").alias("fp"))
     heads = cut(held.groupBy("fp").agg(F.min(F.struct("rank", "node")).alias("head")).select("fp", F.col("head.rank").alias("rank"), F.col("head.node").alias("head")))
     inside = cut(members(heads.select("fp"), bits).select("variant", "fp").join(heads, "fp"))
     least = inside.groupBy("variant").agg(F.min(F.struct("rank", "head")).alias("to")).select("variant", F.col("to.head").alias("to"))
     found = inside.join(least, "variant").select("fp", "to").union(heads.select("fp", F.col("head").alias("to"))).distinct()
     pairs = held.join(found, "fp").where("node <> to").select(F.col("node").alias("src"), F.col("to").alias("dst")).distinct()
-    # All tables together drop chance meetings before any text is read: linked texts differ in some 6 % of these bits, at most 10 % were seen.
-    a, b = (nodes.select(F.col("node").alias(end), F.col("fps").alias(f"{end}_fps"), F.col("digest").alias(f"{end}_digest"), F.col("id").alias(f"{end}_id")) for end in ("src", "dst"))
-    apart = F.aggregate(F.zip_with("src_fps", "dst_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = cut(pairs.join(a, "src").join(b, "dst").where(apart <= int(0.16 * tables * bits)).select("src", "src_digest", "src_id", "dst", "dst_digest", "dst_id"))
+    # The only filter before texts are read: the lesser number of shingles over the greater bounds the similarity from above, so no pair is lost.
+    a, b = (nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("digest").alias(f"{end}_digest"), F.col("id").alias(f"{end}_id")) for end in ("src", "dst"))
+    alike = F.least("src_size", "dst_size") >= F.lit(similarity) * F.greatest("src_size", "dst_size")
+    near = cut(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "src_digest", "src_id", "dst", "dst_digest", "dst_id"))
     links = near
     for end in ("src", "dst"):  # one row of each text that has a candidate; equal texts of one id are equal rows
         wanted = near.select(F.col(f"{end}_digest").alias("d"), F.col(f"{end}_id").alias("i")).distinct()
