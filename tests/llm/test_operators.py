@@ -191,6 +191,21 @@ def test_no_candidate_is_dropped_but_by_its_shingles(spark):
     assert kept_of(spark, [" ".join(words), " ".join(words[:164])]) == [0]
 
 
+def test_truncated_and_extended_copies_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(400))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(rng.randrange(150, 400))]
+        at = rng.randrange(len(words))
+        texts += [words, words[: len(words) * 83 // 100], words[:at] + [word() for _ in range(len(words) * 17 // 100)] + words[at:]]
+    shingled = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    ids = range(len(texts))
+    close = [(a, b) for a in ids for b in ids if a < b and len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
+    assert len(close) >= 70
+    assert kept_of(spark, [" ".join(w) for w in texts]) == sorted(set(components_of(close, ids).values()))
+
+
 # ---- 3
 
 
