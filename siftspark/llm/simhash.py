@@ -179,6 +179,36 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("digest"), text.alias("text"))
 
 
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (src, dst) whose texts are as similar as that."""
+    # The only filter before texts are read: the lesser number of shingles over the greater bounds the similarity from above, so no pair is lost.
+    a, b = (nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("digest").alias(f"{end}_digest"), F.col("id").alias(f"{end}_id")) for end in ("src", "dst"))
+    alike = F.least("src_size", "dst_size") >= F.lit(similarity) * F.greatest("src_size", "dst_size")
+    near = cut(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "src_digest", "src_id", "dst", "dst_digest", "dst_id"))
+    links = near
+    for end in ("src", "dst"):  # one row of each text that has a candidate; equal texts of one id are equal rows
+        wanted = near.select(F.col(f"{end}_digest").alias("d"), F.col(f"{end}_id").alias("i")).distinct()
+        once = texts.join(wanted, (texts["digest"] == wanted["d"]) & texts["id"].eqNullSafe(wanted["i"])).groupBy("digest").agg(F.first("text").alias("text"))
+        links = links.join(once.select(F.col("digest").alias(f"{end}_digest"), F.col("text").alias(f"{end}_text")), f"{end}_digest")
+    return cut(links.select("src", "dst", "src_text", "dst_text").mapInArrow(_verify(words, similarity), "src long, dst long"))
+
+
+def _untried(shared: DataFrame, roots: DataFrame, tried: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (src, dst), src above dst, of two components of a bucket of shared (key, node) that are not in tried.
+
+    Each component of a bucket elects a text, another in each turn, which is paired with
+    all texts of the others; without a turn all are paired.
+    """
+    bucket = Window.partitionBy("key")
+    named = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = cut(named.select("*", F.min("root").over(bucket).alias("low"), F.max("root").over(bucket).alias("high")).where("low < high").select("key", "node", "root"))
+    heads = mixed.select("key", F.col("node").alias("head"), F.col("root").alias("of"))
+    if turn is not None:
+        heads = mixed.groupBy("key", F.col("root").alias("of")).agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("head"))).alias("x")).select("key", "of", "x.head")
+    met = mixed.join(heads, "key").where("root <> of").select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst")).distinct()
+    return cut(met.join(tried, ["src", "dst"], "left_anti"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8) -> DataFrame:
     """(digest, id, component, component_digest) of the distinct texts: texts of one component are linked by similarity.
 
@@ -187,8 +217,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same rows minima of hashed shingles. A minimum agrees as often as the similarity says,
     whatever the kind of edit, so a pair of 0.8 shares none of 50 bands of 8 in 1 of 10,000
     cases, one of 0.85 in 1 of 8 million; pairs of 0.5 share one in 18 %, of 0.2 in 0.01 %.
-    In each bucket a text is compared with the bucket's smallest; no candidate is dropped
-    but by its similarity.
+    In each bucket a text is compared with the bucket's smallest, then, where that leaves
+    more than one component, with one text of each other component in turns until no turn
+    links any more, and then with all of the others: every two texts of a bucket are in one
+    component or have been compared. No candidate is dropped but by its similarity.
     Null texts are empty; equal texts are one node. id is a distinct text's smallest id
     (null if all are null), component the smallest id of its component, component_digest
     the md5 of that one's text. An empty table gives no rows.
@@ -199,16 +231,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bucket = Window.partitionBy("key")
     shared = cut(nodes.select("node", F.explode("keys").alias("key")).select("key", "node", F.min("node").over(bucket).alias("head"), F.max("node").over(bucket).alias("last")).where("head < last").select("key", "node", "head"))
     pairs = shared.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
-    # The only filter before texts are read: the lesser number of shingles over the greater bounds the similarity from above, so no pair is lost.
-    a, b = (nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("digest").alias(f"{end}_digest"), F.col("id").alias(f"{end}_id")) for end in ("src", "dst"))
-    alike = F.least("src_size", "dst_size") >= F.lit(similarity) * F.greatest("src_size", "dst_size")
-    near = cut(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "src_digest", "src_id", "dst", "dst_digest", "dst_id"))
-    links = near
-    for end in ("src", "dst"):  # one row of each text that has a candidate; equal texts of one id are equal rows
-        wanted = near.select(F.col(f"{end}_digest").alias("d"), F.col(f"{end}_id").alias("i")).distinct()
-        once = texts.join(wanted, (texts["digest"] == wanted["d"]) & texts["id"].eqNullSafe(wanted["i"])).groupBy("digest").agg(F.first("text").alias("text"))
-        links = links.join(once.select(F.col("digest").alias(f"{end}_digest"), F.col("text").alias(f"{end}_text")), f"{end}_digest")
-    roots = components(links.select("src", "dst", "src_text", "dst_text").mapInArrow(_verify(words, similarity), "src long, dst long"))
+    tried = cut(pairs)
+    links = _linked(tried, nodes, texts, words, similarity)
+    roots = components(links)
+    turn = 0
+    while True:
+        pairs = _untried(shared, roots, tried, turn)
+        more = _linked(pairs, nodes, texts, words, similarity)
+        found = bool(more.limit(1).count())
+        if found:
+            links = links.union(more)
+            roots = components(links)
+        if turn is None:
+            break
+        tried, turn = tried.union(pairs), turn + 1 if found else None
     named = cut(nodes.select("digest", "id", "rank", "node").join(roots, "node", "left").select("digest", "id", "rank", F.coalesce("root", "node").alias("root")))
     best = named.groupBy("root").agg(F.min(F.struct("rank", "id", "digest")).alias("best")).select("root", F.col("best.id").alias("component"), F.col("best.digest").alias("component_digest"))
     return named.join(best, "root").select("digest", "id", "component", "component_digest")

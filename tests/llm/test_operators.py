@@ -206,6 +206,26 @@ def test_truncated_and_extended_copies_are_found(spark):
     assert kept_of(spark, [" ".join(w) for w in texts]) == sorted(set(components_of(close, ids).values()))
 
 
+def test_near_copies_within_a_template_are_found(spark):
+    rng = random.Random(13)
+    template = [f"t{k}" for k in range(300)]
+    texts = []
+    for family in range(100):  # similarity across families some 0.71, within them 0.93
+        own = list(template)
+        for at in rng.sample(range(5, 295, 5), 4):
+            own[at] = f"f{family}x{at}"
+        for copy in range(3):
+            words = list(own)
+            words[rng.randrange(5, 295, 5)] = f"f{family}c{copy}"
+            texts.append(words)
+    shingled = [{tuple(w[k : k + 5]) for k in range(296)} for w in texts]
+    ids = range(len(texts))
+    close = [(a, b) for a in ids for b in ids if a < b and len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
+    expected = sorted(set(components_of(close, ids).values()))
+    assert len(expected) >= 60
+    assert kept_of(spark, [" ".join(w) for w in texts]) == expected
+
+
 # ---- 3
 
 
