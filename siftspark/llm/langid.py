@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Learning rows: at most this many texts of each language, the first by hashed text; of these the first are landmarks.
 ROWS, LANDMARKS = 400, 48
-#: Languages at most: each has its own weights. Parts into which hashes are dealt to take a share of them.
-MOST_LANGUAGES, PARTS = 500, 1_000_000
+#: Languages at most: each has its own weights.
+MOST_LANGUAGES = 500
 #: Characters of a text whose n-grams are numbered at once.
 CHUNK = 1 << 20
 #: Letters' bytes map to 1 and up, all other ASCII to 0: lower-cased a-z, then the bytes of non-ASCII characters.
@@ -71,22 +71,37 @@ class Model:
         return best, np.clip(values[np.arange(len(texts)), best], 0.0, 1.0)
 
 
+def _first_keys(rows: int):
+    """The rows least distinct keys of each language among a partition's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            codes, keys = langs.indices.to_numpy(), batch.column(1).to_numpy()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate((held.get(lang, keys[:0]), keys[codes == code])))[:rows]
+        for lang, keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["lang", "key"])
+
+    return run
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model | None:
     """Learns from docs' texts and non-null languages; None where there is none.
 
-    Of each language at most rows distinct texts are used, the first by hashed text of a
-    share that is dealt by another hash, so that reruns agree; landmarks of these span the
-    approximation. All else is bounded by that.
+    Of each language rows distinct texts are used, the first by hashed text, or all where
+    there are fewer; copies do not count. Landmarks of these span the approximation. All
+    else is bounded by that.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("key"), "text")
-    counted = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counted) > MOST_LANGUAGES:
+    languages = docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counted:
+    if not languages:
         return None
-    # a share of each language by hashed text, some four times the rows wanted, so that what is sorted is as small for any input
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counted.items() for x in (lang, min(PARTS, -(-4 * rows * PARTS // n))))), F.col("lang"))
-    keys = texts.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) < share).select("lang", "key").distinct()
+    # each partition keeps its own first keys of a language, so that what is shuffled and sorted is bounded by these
+    keys = texts.select("lang", "key").mapInArrow(_first_keys(rows), "lang string, key long").distinct()
     first = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= rows)
     # first has at most rows keys for each of MOST_LANGUAGES languages: some MB
     chosen = texts.join(F.broadcast(first), ["lang", "key"]).groupBy("lang", "key", "r").agg(F.first("text").alias("text"))

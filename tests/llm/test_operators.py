@@ -496,3 +496,13 @@ def test_kernel_is_the_cosine_of_ngram_sets(spark, odd):
     found = {r["id"]: r for r in rows_of(langid.identify(odd, model))}
     assert model.languages == ["de", "en", "fr"] and found[2]["lang"] == found[3]["lang"] == found[4]["lang"] == "und" and found[6]["lang"] == "de" and found[5]["lang"] == "en"
     assert langid.fit(odd.limit(0)) is None and {r["lang"] for r in rows_of(langid.identify(odd, None))} == {"und"}
+
+
+def test_copies_do_not_crowd_out_a_language(spark, monkeypatch):
+    few = spark.range(100_000).select(F.concat(F.lit("wenige deutsche texte "), (F.col("id") % 30).cast("string"), F.translate((F.col("id") % 30).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(1000).select(F.concat(F.lit("many english texts "), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")).alias("text"), F.lit("en").alias("lang"))
+    counts = []
+    bincount = np.bincount
+    monkeypatch.setattr(langid.np, "bincount", lambda x, **k: (counts.append(bincount(x, **k)), counts[-1])[1])
+    model = langid.fit(few.union(many))
+    assert model.languages == ["de", "en"] and counts[0].tolist() == [30, 400]
