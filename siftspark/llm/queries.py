@@ -25,7 +25,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive_pages(pages, fresh_path(spark, "warc"))
     kind = pages.schema["page_id"].dataType
     found = warc.read_archives(manifest, payloads=True)
-    return found.select(F.when(F.col("record_id") != "None", F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return found.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:

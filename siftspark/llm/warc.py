@@ -16,9 +16,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,6 +32,10 @@ from siftspark.llm.common import cut, fresh_path
 #: Uncompressed bytes after which a writer begins a new archive.
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Records of one payload from which its rows are not dealt by it: at most one payload in so many records is.
+HOT = 100_000
+#: Tasks at most that archives are dealt to.
+TASKS = 20_000
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,15 +53,24 @@ def _line(value: str) -> str:
     return quote(value, safe="".join(map(chr, range(33, 127)))) if any(ord(c) < 33 or ord(c) > 126 for c in value) else value
 
 
-def record(record_id: str, uri: str | None, payload: bytes, date: str, refers_to: str | None = None) -> bytes:
+def _uid(record_id: str | None) -> str:
+    """A record id as a URN that holds on one line; unnamed() gives the id back. A null id has a random one."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if record_id is None else f"<urn:page:{quote(record_id, safe='')}>"
+
+
+def unnamed(urn: str | None) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn is not None and urn.startswith("<urn:page:") else None
+
+
+def record(record_id: str | None, uri: str | None, payload: bytes, date: str, refers_to: str | None = None) -> bytes:
     """A response record with an HTTP block, or a revisit of refers_to, which keeps the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{_line(record_id)}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _uid(record_id)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
     if uri is not None:
         head.append(("WARC-Target-URI", _line(uri)))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:page:{_line(refers_to)}>"), ("WARC-Profile", PROFILE)]
+        head += [("WARC-Refers-To", _uid(refers_to)), ("WARC-Profile", PROFILE)]
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -108,7 +122,7 @@ def as_revisit(head: bytes, block: bytes, refers_to: str) -> tuple[bytes, bytes]
     """Header and block of a response turned into a revisit of refers_to: the block keeps its HTTP header alone."""
     http = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
     kept = [line for line in head.split(b"\r\n")[1:] if not line.lower().startswith((b"warc-type:", b"content-length:"))]
-    added = [f"WARC-Type: revisit\r\nWARC-Refers-To: <urn:page:{_line(refers_to)}>\r\nWARC-Profile: {PROFILE}\r\nContent-Length: {len(http)}".encode()]
+    added = [f"WARC-Type: revisit\r\nWARC-Refers-To: {_uid(refers_to)}\r\nWARC-Profile: {PROFILE}\r\nContent-Length: {len(http)}".encode()]
     return b"\r\n".join([VERSION, *kept, *added]), http
 
 
@@ -125,7 +139,7 @@ def _write(folder: str, date: str, limit: int):
                     name, raw, nth, deflate = f"mono-{task.partitionId():06d}-{task.taskAttemptId()}-{archives:04d}.warc.gz", 0, 0, zlib.compressobj(6, zlib.DEFLATED, 31)
                     out, archives = fs.open_output_stream(f"{top}/{name}", compression=None), archives + 1
                 body = payload.as_py()
-                data = record(str(key.as_py()), uri.as_py(), body, date)
+                data = record(None if key.as_py() is None else str(key.as_py()), uri.as_py(), body, date)
                 out.write(deflate.compress(data))
                 done.append((f"{folder}/{name}", nth, digest32(body), len(body)))
                 raw, nth = raw + len(data), nth + 1
@@ -154,12 +168,21 @@ def write_monolithic(pages: DataFrame, folder: str, date: str = "2024-01-01T00:0
 
 def revisits_of(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(archive, revisits) of all archives of records: which become revisits, and of what. An archive's list is bounded by the archive's size."""
-    first = records.groupBy("digest", "size").agg(F.min("key").alias("first")).withColumnRenamed("digest", "_d").withColumnRenamed("size", "_n")
-    marked = records.join(first, (records["digest"] == first["_d"]) & (records["size"] == first["_n"]))
+    first = records.groupBy("digest", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null")
+    first = cut(first.withColumnRenamed("digest", "_d").withColumnRenamed("size", "_n"))
+    same = (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_n"))
+    # payloads of very many records are few enough to be sent everywhere; so their rows, of which one task might hold a third, stay where they are
+    often, seldom = F.broadcast(first.where(F.col("copies") > HOT)), first.where(F.col("copies") <= HOT)
+    marked = records.join(often, same, "left").withColumnRenamed("first", "_hot").drop("_d", "_n", "copies").join(seldom, same, "left").withColumn("first", F.coalesce("_hot", "first"))
     again = (F.col("size") >= least_bytes) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     return marked.groupBy("archive").agg(F.sort_array(F.collect_list(F.when(again, F.struct("nth", F.col("first").cast("string").alias("refers_to"))))).alias("revisits"))
 
 
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """manifest dealt over as many tasks as it has archives."""
+    return manifest.repartitionByRange(max(1, min(TASKS, manifest.count())), "archive")
+
+
 def _normalise(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -206,7 +229,7 @@ def normalise(manifest: DataFrame, folder: str, remove: bool = False) -> DataFra
     rewritten.
     """
     revisits = F.col("revisits") if "revisits" in manifest.columns else F.lit(None)
-    sources = cut(manifest.select("archive", revisits.cast(REVISITS).alias("revisits")).repartition(F.xxhash64("archive")))
+    sources = cut(_dealt(cut(manifest.select("archive", revisits.cast(REVISITS).alias("revisits")))))
     new = cut(sources.mapInArrow(_normalise(folder), MANIFEST))
     if remove:
         sources.select("archive").mapInArrow(_remove, "archive string").count()
@@ -236,7 +259,7 @@ def _read(with_payload: bool):
                             digest, revisit = named["warc-payload-digest"].removeprefix("sha1:"), named["warc-type"] == "revisit"
                             size = int(header(http)["content-length"])
                             intact = revisit or (len(body) == size and digest32(body) == digest)
-                            uid = [named[k][len("<urn:page:") : -1] if k in named else None for k in ("warc-record-id", "warc-refers-to")]
+                            uid = [unnamed(named.get(k)) for k in ("warc-record-id", "warc-refers-to")]
                             rows.append((uid[0], named.get("warc-target-uri"), named["warc-type"], uid[1], digest, size, body if with_payload and not revisit else None, archive, offset, length, intact))
                             held += len(body) * with_payload
                             if len(rows) >= 2000 or held >= 16 << 20:
@@ -249,7 +272,7 @@ def _read(with_payload: bool):
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of normalised archives, each read at the offset that the sidecar names; intact: its payload has its digest."""
-    return manifest.select("archive").mapInArrow(_read(payloads), RECORDS)
+    return _dealt(manifest.select("archive")).mapInArrow(_read(payloads), RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, key_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -259,7 +282,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, key_col: str = "p
     are responses, the others revisits that refer to it; smaller payloads are all
     responses. A null payload is empty. Repeated rows of the smallest key are all
     responses; a null key is never the smallest unless a payload has no other, in which
-    case all its records are responses. A null uri leaves the target URI out. An empty
+    case all its records are responses. A null key is read back as null, any other as its text. A null uri leaves the target URI out. An empty
     table gives no archive.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
