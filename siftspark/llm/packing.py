@@ -13,89 +13,114 @@ from __future__ import annotations
 import string
 import sys
 import types
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pending examples of a task.
 POOL = 256
-#: Words and cores (words without punctuation, in lower case) of a generation of an encoder's cache, which holds this one and the last; the longest word that is cached.
-WORDS, CORES, LONGEST = 40_000, 150_000, 40
-#: Texts that are taken from a batch at once.
-TEXTS = 128
+#: Stretches of a generation of an encoder's cache, which holds this one and the last, some 200 bytes each; the longest stretch that is cached.
+WORDS, LONGEST = 150_000, 40
+#: Letters that have one lower-case form and stand alone in every normal form: ASCII, Latin-1, Cyrillic; a stretch of them, with or without ASCII punctuation after it.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0400-\u045f]"
+SIMPLE = f"^{LETTERS}+" + r"[!-/:-@\[-`{-~]*$"
+#: Texts that are taken from a batch at once, and their bytes: a part has more only if it is one text.
+TEXTS, TEXT_BYTES = 512, 2 << 20
 END = 2
 
 
-class Encoder(dict):
-    """Token ids of texts; a text's stretches between blanks and newlines are encoded once and remembered.
+class Encoder:
+    """Token ids of texts; a batch's distinct stretches between blanks and newlines are encoded once and remembered.
 
-    Exact for tokenizers whose pre-tokens never reach over a blank or newline and whose
-    normaliser works on each of them alone. A stretch of letters, with or without
-    punctuation after it, is one pre-token or two: of these the letters go to the
-    tokenizer's model directly, in lower case and as the byte alphabet that it is made of.
+    Ids are those that the tokenizer as loaded gives with add_special_tokens=False, its added
+    tokens included. Exact for tokenizers whose pre-tokens never reach over a blank or newline
+    and whose normaliser works on each stretch alone; one with an added token that holds or
+    strips white space encodes texts whole. A stretch of letters, with or without punctuation
+    after it, is one pre-token or two: of these the letters go to the tokenizer's model
+    directly, in lower case and as the byte alphabet that it is made of. What is remembered
+    of a stretch are its ids as bytes, little-endian, four an id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.by_letters = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer)
-        self.old: dict[str, tuple[int, ...]] = {}  # the last generation: what is used of it moves on, the rest goes with it
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.old_cores: dict[str, tuple[int, ...]] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(map(str.isspace, t.content)) for t in added)
+        self.by_letters = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "Lowercase" in str(self.tokenizer.normalizer) and not any(t.content.isalpha() for t in added)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the last generation: what is used of it moves on, the rest goes with it
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: these stand for themselves, the rest for 256 and up
-        self.alphabet = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*printed}))}
-
-    def _plain(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _part(self, key: str, encode) -> tuple[int, ...]:
-        if (ids := self.cores.get(key)) is None:
-            if (ids := self.old_cores.get(key)) is None:
-                ids = encode(key)
-            if len(key) <= LONGEST:
-                if len(self.cores) >= CORES:
-                    self.old_cores, self.cores = self.cores, {}
-                self.cores[key] = ids
-        return ids
-
-    def _letters(self, word: str) -> tuple[int, ...]:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return tuple(t.id for t in self.tokenizer.model.tokenize(mapped))
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if (ids := self.old.get(word)) is not None:
-            return self._keep(word, ids)
-        core = word.rstrip(string.punctuation)
-        if not word:
-            ids = ()
-        elif self.by_letters and core.isalpha() and core.lower().isalpha() and (core.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
-            ids = self._part(core.lower(), self._letters)
-            if len(core) < len(word):
-                ids += self._part(word[len(core) :], self._plain)
-        else:
-            ids = self._plain(word)
-        return self._keep(word, ids)
-
-    def _keep(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
+        self.alphabet = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*printed})) if b != 32}  # a blank parts words
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        words, tokenize, ids = list(words), self.tokenize, self.ids
+        if odd := [k for k, x in enumerate(words) if not x.isascii()]:
+            mapped = " ".join([words[k] for k in odd]).encode().decode("latin-1").translate(self.alphabet).split(" ")
+            for k, x in zip(odd, mapped, strict=True):
+                words[k] = x
+        return [b"".join([ids[t.id] for t in tokenize(x)]) for x in words]
+
+    def _each(self, keys: list[str], encode) -> list[bytes]:
+        """What encode gives for the keys, remembered."""
+        out = list(map(self.held.get, keys))
+        missing = [k for k, x in enumerate(out) if x is None]
+        new = [k for k in missing if keys[k] not in self.old]
+        for k, found in zip(new, encode([keys[k] for k in new]), strict=True):
+            out[k] = found
+        for k in missing:
+            if out[k] is None:
+                out[k] = self.old[keys[k]]
+        kept = {keys[k]: out[k] for k in missing if len(keys[k]) <= LONGEST}
+        if len(self.held) + len(kept) > WORDS:
+            self.old, self.held = self.held, {}
+        self.held |= kept
+        return out
+
+    def _pieces(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of pieces, the first of them none, and the numbers of each word's two pieces."""
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        simple = pc.match_substring_regex(words, SIMPLE).to_numpy(zero_copy_only=False) if self.by_letters else np.zeros(len(words), bool)
+        chosen = words.filter(pa.array(simple))
+        cores = pc.utf8_lower(pc.ascii_rtrim(chosen, characters=string.punctuation)).dictionary_encode()
+        tails = pc.replace_substring_regex(chosen, f"^{LETTERS}+", "").dictionary_encode()
+        strings = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        pieces = [b"", *self._each(strings(cores.dictionary), self._letters)]
+        first[simple], second[simple] = cores.indices.to_numpy() + 1, tails.indices.to_numpy() + len(pieces)
+        pieces += self._plain(strings(tails.dictionary))
+        rest = strings(words.filter(pa.array(~simple)))
+        first[~simple] = np.arange(len(pieces), len(pieces) + len(rest))
+        return pieces + self._each(rest, self._plain), first, second
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.whole:
+            return [np.frombuffer(x, "<u4") for x in self._plain(texts.to_pylist())]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        pieces, first, second = self._pieces(words.dictionary)
+        sizes, index = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, words.indices.to_numpy()
+        at = np.empty(2 * len(index), np.int64)
+        at[0::2], at[1::2] = first[index], second[index]
+        n = sizes[at]
+        ends = np.cumsum(n)
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(pieces), "<u4")[places]
+        return np.split(ids, np.concatenate(([0], ends))[2 * np.cumsum(pc.list_value_length(lists).to_numpy())][:-1])
 
 
 def _encoder(path: str) -> Encoder:
@@ -192,6 +217,16 @@ class Packer:
             yield out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts of bounded rows and, but for single rows, bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) if pa.types.is_string(batch.schema.field(1).type) else np.zeros(batch.num_rows)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + TEXTS]), TEXT_BYTES, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -220,11 +255,10 @@ def _pack(kind: str, path: str | None, limits: tuple[int, int, int], with_ids: b
         kind_of, encoder = None, None if path is None else _encoder(path)
         for batch in batches:
             kind_of = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in _parts(batch):
                 keys = part.column(0).to_pylist()
                 if encoder is not None:
-                    found = [(np.append(encoder.encode(t or ""), np.uint32(END)), None) for t in part.column(1).to_pylist()]
+                    found = [(np.append(ids, np.uint32(END)), None) for ids in encoder.encode(part.column(1))]
                 else:
                     found = [(np.asarray(ids or [], np.uint32), None if mask is None else np.concatenate(([0], np.cumsum([bool(m) for m in mask])))) for ids, mask in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 for key, (ids, cumulative) in zip(keys, found, strict=True):
@@ -244,7 +278,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tokens: int = 4096, segments: int = 512, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tokens: int = 4096, segments: int = 32, loss: int | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens[, ids]) of packed texts.
 
     A text is the ids that the tokenizer file gives it and an end id; all bear loss. A null
