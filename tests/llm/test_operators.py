@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF
@@ -46,49 +47,90 @@ def rows_of(frame):
 # ---- 1
 
 
-def test_mixing_meets_targets(spark, docs):
-    found = rows_of(queries.op1_mixing(spark, SF))
-    texts = {r["doc_id"]: r for r in rows_of(docs)}
+def brute_targets(sizes, cap=3, cycle=(1, 2, 3)):
+    """Takes what exceeds from the sources above their cap and shares it among the rest, until none is above."""
+    ordered = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: cycle[k % 3] for k, s in enumerate(ordered)}
+    goal, free, left = {}, set(sizes), sum(sizes.values())
+    while free:
+        each = left / sum(weight[s] for s in free)
+        over = {s for s in free if each * weight[s] > cap * sizes[s]}
+        if not over:
+            return goal | {s: each * weight[s] for s in free}
+        goal |= {s: cap * sizes[s] for s in over}
+        left, free = left - sum(cap * sizes[s] for s in over), free - over
+    return goal
+
+
+@pytest.mark.parametrize(("scale", "most"), [("sf0.001", None), ("sf0.1", 0.01)])
+def test_mixing_meets_targets(spark, scale, most):
+    sf = SF.replace("sf0.001", scale)
+    found = rows_of(queries.op1_mixing(spark, sf))
+    texts = {r["doc_id"]: r for r in rows_of(spark.read.parquet(f"{sf}/documents.parquet"))}
     assert Counter(r["doc_id"] for r in found) == Counter(texts.keys())
-    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    sizes, taken, target, largest = defaultdict(int), defaultdict(int), {}, defaultdict(int)
     for r in found:
+        source = texts[r["doc_id"]]["source"]
         assert r["size"] == len(WORD.findall(texts[r["doc_id"]]["text"] or "")) and 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
-        sizes[r["source"]] += r["size"]
-        taken[r["source"]] += r["taken"]
-        target[r["source"]] = r["target"]
-    largest = {s: max(r["size"] for r in found if r["source"] == s) for s in sizes}
-    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
-    # these sources have ten documents each: they miss by less than one, and by little over all
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
-    assert sum(abs(taken[s] - target[s]) for s in sizes) <= 0.1 * sum(sizes.values())
-    again = rows_of(queries.op1_mixing(spark, SF))
-    assert sorted(map(str, again)) == sorted(map(str, found))
-
-
-def test_targets_share_out_what_is_over():
-    goal = mixing.targets({"a": 10, "b": 100, None: 1000}, mixing.cycle_weights(["a", "b", None]), 3)
+        sizes[source] += r["size"]
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        largest[source] = max(largest[source], r["size"])
+    goal = brute_targets(dict(sizes))
+    assert target == pytest.approx(goal) and all(r["source_size"] == sizes[texts[r["doc_id"]]["source"]] for r in found)
+    assert all(abs(taken[s] - goal[s]) <= (largest[s] if most is None else most * goal[s]) for s in sizes)
+    if most is None:  # ten documents a source
+        assert sum(abs(taken[s] - goal[s]) for s in sizes) <= 0.1 * sum(sizes.values())
+        again = rows_of(queries.op1_mixing(spark, sf))
+        assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_targets_share_out_what_is_over(spark):
+    def goals(sizes, weights=(1, 2, 3)):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, total long")
+        return {r["source"]: r["target"] for r in rows_of(mixing.targets(frame, weights, 3))}
+
+    goal = goals({"a": 10, "b": 100, None: 1000})
     assert goal["a"] == 30 and goal["b"] == 300 and goal[None] == pytest.approx(780)
-    assert mixing.targets({}, {}, 3) == {} and mixing.targets({"a": 0}, {"a": 1.0}, 3) == {"a": 0}
-    assert list(mixing.cycle_weights(["é", None, "z", "a"]).values()) == [1, 2, 3, 1]
+    assert goals({}) == {} and goals({"a": 0}) == {"a": 0} and goals({"a": 5, "é": 1, "z": 0, None: 4}) == pytest.approx(brute_targets({"a": 5, "é": 1, "z": 0, None: 4}))
+    rng = random.Random(8)
+    many = {f"s{rng.random()}": int(rng.paretovariate(0.6)) for _ in range(500)}
+    assert goals(many) == pytest.approx(brute_targets(many))
+    named = spark.createDataFrame([("a", 1.0), (None, 3.0)], "source string, weight double")
+    assert goals({"a": 50, "b": 50, None: 100}, named) == {"a": 50, "b": 0, None: 150}
 
 
 def test_flight_keeps_probabilities():
     hits = Counter()
     for seed in range(3000):
-        flight = mixing.Flight(str(seed))
-        for i, size in enumerate((50, 40, 9, 9, 5, 1)):
-            hits.update(r for r, t in flight.add(size, 0.3, i) if t)
-        hits.update(r for r, t in flight.land() if t)
-    assert all(abs(hits[i] / 3000 - 0.3) < 0.04 for i in range(6))
+        flight = mixing.Flight((50, 40, 9, 9, 5, 1, 0), [0.3] * 7, str(seed))
+        flight.fly()
+        flight.land()
+        assert set(flight.p) <= {*(p for p in flight.p if abs(p - round(p)) <= 2 * mixing.EPS)}
+        hits.update(k for k, p in enumerate(flight.p) if p > 0.5)
+    assert all(abs(hits[i] / 3000 - 0.3) < 0.04 for i in range(7))
 
 
-def test_mixing_blocks_and_odd_rows(spark, odd):
+def test_one_very_large_document_is_balanced_by_many():
+    for seed in range(40):
+        rng = random.Random(seed)
+        sizes = sorted([20_020, *(rng.randrange(60, 200) for _ in range(499))], reverse=True)
+        flight = mixing.Flight(sizes, [0.37] * 500, str(seed))
+        flight.fly()
+        flight.land()
+        assert abs(sum(n for n, p in zip(sizes, flight.p, strict=True) if p > 0.5) - 0.37 * sum(sizes)) <= 0.01 * 0.37 * sum(sizes)
+
+
+def test_mixing_blocks_and_odd_rows(spark, odd, monkeypatch):
     many = spark.createDataFrame([(i, "w " * (1 + i % 50), "s" + str(i % 2)) for i in range(400)], "doc_id long, text string, source string")
     found = rows_of(mixing.mix_decisions(many, block=16))
     assert len(found) == 400
     for s in ("s0", "s1"):
         own = [r for r in found if r["source"] == s]
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) < 30
+    plain = sorted(map(str, found))
+    monkeypatch.setattr(mixing, "PLAN_SENT", 0)
+    assert sorted(map(str, rows_of(mixing.mix_decisions(many, block=16)))) == plain
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
     for key, n in Counter(r["doc_id"] for r in rows_of(mixed)).items():
@@ -238,11 +280,11 @@ def test_warc_round_trip_and_normaliser(spark, tmp_path):
     by = defaultdict(list)
     for r in found:
         by[r["record_id"]].append(r)
-    assert by["1"][0]["record_type"] == "response" and (by["2"][0]["record_type"], by["2"][0]["refers_to"]) == ("revisit", "1") and by["None"][0]["refers_to"] == "1"
+    assert by["1"][0]["record_type"] == "response" and (by["2"][0]["record_type"], by["2"][0]["refers_to"]) == ("revisit", "1") and by[None][0]["refers_to"] == "1"
     assert by["4"][0]["record_type"] == "response" and {r["refers_to"] for r in by["5"]} == {"4"}
     for key, _, html in pages:
         payload = (html or "").encode()
-        for r in by[str(key)]:
+        for r in by[None if key is None else str(key)]:
             assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
             assert r["payload"] is None if r["record_type"] == "revisit" else r["payload"] == payload
     for archive in {r["archive"] for r in found}:
@@ -251,6 +293,12 @@ def test_warc_round_trip_and_normaliser(spark, tmp_path):
         assert sum(r["length"] for r in own) == len(raw)
         for r in own:  # a member stands alone
             assert zlib.decompress(raw[r["offset"] : r["offset"] + r["length"]], 31).startswith(warc.VERSION)
+    ids = ["a b", "a%20b", "None", "é\n", None, ""]
+    named = spark.createDataFrame([(x, f"p{k}") for k, x in enumerate(ids)], "page_id string, html string").withColumn("url", F.lit("u")).repartition(3)
+    written = warc.archive_pages(named, f"file://{tmp_path}/n")
+    assert {(r["record_id"], r["payload"].decode()) for r in rows_of(warc.read_archives(written))} == {(x, f"p{k}") for k, x in enumerate(ids)}
+    sources = warc._dealt(written)
+    assert written.count() >= 2 and sources.select(F.spark_partition_id()).distinct().count() == written.count()
     assert warc.read_archives(warc.archive_pages(frame.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
@@ -365,13 +413,29 @@ def test_packer_keeps_all_limits():
 
 
 def test_encoder_and_packing_on_odd_rows(spark, odd):
-    encoder = packing.Encoder(packing.default_tokenizer())
-    for text in ["Don't stop!! it's 3rd-party: ﬁne ΣΑΣ naïve étude 42% a_b ¿Qué? İstanbul", "", "  ", "''s a' b's", "ǅ ² ½ x²y e\u0301", "a\tb\r\nc\x1cd", "x" * 300, "<|endoftext|> end"]:
-        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for text in ["a <|endoftext|>", "x<|startoftext|>y <|EndOfText|>.", "Don't stop!! it's 3rd-party: ﬁne ΣΑΣ naïve étude 42% a_b ¿Qué? İstanbul", "", "  ", "''s a' b's", "ǅ ² ½ x²y e\u0301", "a\tb\r\nc\x1cd", "x" * 300, "<|endoftext|> end"]:
+        assert encoder.encode(pa.array([None, text, text]))[1].tolist() == plain.encode(text, add_special_tokens=False).ids
+    letters = [c for c in map(chr, range(0x41, 0x460)) if re.match(packing.LETTERS, c)]
+    words = [x for a, b in zip(letters, letters[7:] + letters[:7], strict=True) for x in (a, a + b, f"{b}{a}a!", f"{a}'s")]
+    for _ in range(2):  # the second time from the cache
+        assert [x.tolist() for x in encoder.encode(pa.array(words))] == [plain.encode(x, add_special_tokens=False).ids for x in words]
     pieces = rows_of(packing.pack_texts(odd, with_ids=True))
     assert sum(p["length"] for p in pieces if p["id"] == 2) == 1 and sum(p["length"] for p in pieces if p["id"] == 1) == 2 * next(p["doc_tokens"] for p in pieces if p["id"] == 1)
     assert packing.pack_texts(odd.limit(0)).count() == 0
     examples = spark.createDataFrame([(1, [1, 2, 3], [True, False, True]), (2, [], None), (3, None, None), (4, [9], None)], "k int, ids array<int>, loss array<boolean>").coalesce(1)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.array_repeat("turn", F.length("text").cast("int")).alias("ids"))).alias("t"))
+    instruct = turns.select("conv_id", F.flatten("t.ids").alias("ids"), F.flatten(F.transform("t", lambda x: F.transform(x["ids"], lambda _: x["role"] == "assistant"))).alias("loss"))
+    wanted = {r["conv_id"]: (r["ids"], r["loss"]) for r in rows_of(instruct)}
+    packed = defaultdict(list)
+    for p in rows_of(packing.pack_examples(instruct, "conv_id", "ids", "loss", tokens=2048, segments=6, loss=700)):
+        packed[p["sequence_id"]].append((p["length"], sum(wanted[p["id"]][1][p["start"] : p["start"] + p["length"]])))
+        assert p["ids"] == wanted[p["id"]][0][p["start"] : p["start"] + p["length"]]
+    assert sum(n for own in packed.values() for n, _ in own) == sum(len(ids) for ids, _ in wanted.values())
+    assert all(sum(n for n, _ in own) <= 2048 and len(own) <= 6 and sum(x for _, x in own) <= 700 for own in packed.values())
+    assert any(sum(x for _, x in own) == 700 for own in packed.values())
     assert sorted((p["id"], p["length"]) for p in rows_of(packing.pack_examples(examples, "k", "ids", "loss", loss=4))) == [(1, 3), (4, 1)]
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 from conftest import SF
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siftspark.llm import packing
 
@@ -46,8 +47,8 @@ def test_stages(spark, tmp_path):
     assert set(ids[3]) == {find(i) for i in found}
     assert max(ids[4].values()) <= 3
     pieces = pipeline.STAGES[-1][1](spark, kept[4], SF).collect()
-    encoder = packing.Encoder(packing.default_tokenizer())
-    tokens = {r["doc_id"]: [*encoder.encode(r["text"] or "").tolist(), packing.END] for r in kept[4].collect()}
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    tokens = {r["doc_id"]: [*plain.encode(r["text"] or "", add_special_tokens=False).ids, packing.END] for r in kept[4].collect()}
     assert sum(p["length"] for p in pieces) == sum(len(tokens[i]) * n for i, n in ids[4].items())
     for p in pieces:
         own = tokens[p["doc_id"]][p["start"] : p["start"] + p["length"]]
