@@ -39,10 +39,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df as a table in the shared folder. As cut, but joins are planned by its true size: a checkpoint keeps its plan's estimate, which grows from turn to turn of a loop."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one key from which they are not dealt by it.
+HOT = 100_000
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, keep: str | None = None) -> DataFrame:
+    """rows joined with the row of table that has their key; rows without one go.
+
+    table has a key once, and in its column n how many rows have it, which is kept under the
+    name keep or left out. Keys of very many rows are few (at most one in HOT rows) and sent
+    to all executors, so that such rows stay where they are; all others are dealt by key.
+    """
+    table = table.withColumnRenamed("n", "_n")
+    both = rows.join(F.broadcast(table.where(F.col("_n") > HOT)), key)
+    both = both.union(rows.join(table.where(F.col("_n") <= HOT), key).select(both.columns))
+    return both.drop("_n") if keep is None else both.withColumnRenamed("_n", keep)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where body names it many times or inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
