@@ -142,6 +142,8 @@ SIGNED, DOUBT = 256, 1e-9
 BLOCK = 1 << 17
 #: Turns at most in which texts of the largest component of a bucket are tried before all are; they spare comparisons and lose none.
 TURNS = 8
+#: Texts of a bucket up to which all its pairs are compared; those of larger ones are joined by their shingles.
+FEW = 16
 #: Texts of one shingle that are paired in one task with all others of it.
 FRAGMENT = 1000
 
@@ -250,11 +252,11 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, blocks: int, w
 
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root, big) of the buckets in which more than one component is: big is the bucket's largest."""
+    """(key, node, root, big, n) of the buckets in which more than one component is: big is the bucket's largest, n its texts."""
     named = written(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     big = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n")).where("parts > 1").select("key", F.col("m.root").alias("big"), "n")
-    return written(met(named, big, "key").select("key", "node", "root", "big"))
+    return written(met(named, big, "key", "n").select("key", "node", "root", "big", "n"))
 
 
 def _elected(mixed: DataFrame, turn: int) -> DataFrame:
@@ -265,6 +267,13 @@ def _elected(mixed: DataFrame, turn: int) -> DataFrame:
     return asked.select(F.greatest("node", "head").alias("src"), F.least("node", "head").alias("dst")).distinct()
 
 
+def _all_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of different components in buckets of few texts."""
+    one = mixed.where(F.col("n") <= FEW).select("key", F.col("node").alias("src"), F.col("root").alias("of"))
+    other = mixed.where(F.col("n") <= FEW).select("key", F.col("node").alias("dst"), "root")
+    return one.join(other, "key").where("src > dst and root <> of").select("src", "dst").distinct()
+
+
 def _shingled(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,8 +325,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of 50 bands of 8 in 1 of 10,000 cases, one of 0.85 in 1 of 8 million; pairs of 0.5 share
     one in 18 %, of 0.2 in 0.01 %. Each text is compared with its bucket's smallest; then, as
     long as that links many, those outside of a bucket's largest component with other texts
-    of it; then all texts of buckets in which more than one component is left are joined by
-    their rarest shingles, which misses no pair. So every two texts of a bucket are in one
+    of it; then, of buckets in which more than one component is left, all pairs are compared
+    if they are few, and else the texts are joined by their rarest shingles, which misses no
+    pair. So every two texts of a bucket are in one
     component or less similar than that.
 
     Null texts are empty; equal texts are one node, texts without words are alike. id is a
@@ -334,27 +344,31 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     balls = ball_links(prints.select("fp")).join(prints.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(prints.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
     equal = met(nodes.select("node", "fp"), prints.where("n > 1"), "fp")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(met(buckets, heads, "key").select("key", "node", "head"))
+    several = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # of most keys there is one text
+    shared = written(met(buckets, several, "key", "n").select("key", "node", "n"))
+    heads = shared.groupBy("key").agg(F.min("node").alias("head"), F.first("n").alias("n"))
     pair = lambda a, b: (F.greatest(a, b).alias("src"), F.least(a, b).alias("dst"))
-    pairs = written(shared.select(*pair("node", "head")).union(equal.select(*pair("node", "head"))).union(balls.select(*pair("a", "b"))).where("src <> dst").distinct())
+    pairs = written(met(shared.select("key", "node"), heads, "key").select(*pair("node", "head")).union(equal.select(*pair("node", "head"))).union(balls.select(*pair("a", "b"))).where("src <> dst").distinct())
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
     asked = written(nodes.join(wanted, "node").select("node", "size", "sign", "digest", "id"))
-    named = asked.select("node", F.col("digest").alias("_d"), F.col("id").alias("_i"))
+    named = written(asked.select("node", F.col("id").alias("_i")))  # a narrow table, sent to all executors while it is small
     # one row of each text that has a candidate; equal texts of one id are equal rows
-    stored = written(texts.join(named, (texts["digest"] == named["_d"]) & texts["id"].eqNullSafe(named["_i"])).groupBy("node").agg(F.first("text").alias("text")))
+    own = texts.select(F.xxhash64("digest").alias("node"), "id", "text")
+    stored = written(own.join(named, (own["node"] == named["node"]) & own["id"].eqNullSafe(named["_i"])).select(own["node"], "text").groupBy("node").agg(F.first("text").alias("text")))
     blocks = max(1, -(-(asked.agg(F.sum("size").alias("s")).first()["s"] or 0) // BLOCK))
     verified = lambda candidates: _linked(candidates, asked, stored, blocks, words, similarity)
     links, tried = verified(pairs), pairs
     roots = components(links)
     for turn in range(TURNS):
-        pairs = written(_elected(_mixed(shared, roots), turn).join(tried, ["src", "dst"], "left_anti"))
+        pairs = written(_elected(_mixed(shared.select("key", "node"), roots), turn).join(tried, ["src", "dst"], "left_anti"))
         more = verified(pairs)
         links, tried = links.union(more), tried.union(pairs)
         roots = components(links)
         if 20 * more.count() <= pairs.count():  # what is left is unlike for the most part
             break
-    pairs = written(_across(_mixed(shared, roots), stored, words, similarity).join(tried, ["src", "dst"], "left_anti"))
+    mixed = _mixed(shared.select("key", "node"), roots)
+    pairs = _all_pairs(mixed).union(_across(mixed.where(F.col("n") > FEW), stored, words, similarity)).distinct()
+    pairs = written(pairs.join(tried, ["src", "dst"], "left_anti"))
     more = verified(pairs)
     if more.limit(1).count():
         roots = components(links.union(more))
