@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark.functions.tables import constant
 from siftspark.functions.text import short_hash, template, template_to_regex
 
 # ---- baselines
@@ -20,6 +21,14 @@ def accept(findings: DataFrame) -> DataFrame:
     return findings.select(baseline_key().alias("key")).distinct().orderBy("key")
 
 
+def baseline_document(findings: DataFrame, root: str = "", created_at: Column | None = None) -> DataFrame:
+    """One row about a baseline: tool, created_at, root, total (its keys), by_rule (findings of each rule)."""
+    rules = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    named = rules.agg(F.coalesce(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "n")))), F.create_map().cast("map<string,bigint>")).alias("by_rule"))
+    when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if created_at is None else created_at
+    return accept(findings).agg(F.count(F.lit(1)).alias("total")).join(named).select(F.lit("siftspark").alias("tool"), when.alias("created_at"), F.lit(root).alias("root"), "total", "by_rule")
+
+
 def write_baseline(findings: DataFrame, path: str) -> None:
     accept(findings).write.mode("overwrite").json(path)
 
@@ -31,7 +40,7 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     except Exception as e:  # Spark reports a missing path as an analysis error
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "key string")
+        return constant(spark, [], "key string")
     return found.select(F.explode(F.concat(F.coalesce("keys", F.array().cast("array<string>")), F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>")))).alias("key")).distinct()
 
 
@@ -136,10 +145,10 @@ def upsert(kb: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def load_kb(spark: SparkSession, path: str) -> DataFrame:
-    """A knowledge base of JSON lines: lines that do not parse are left out; of a signature's lines the last seen counts."""
-    rows = spark.read.schema(KB).option("mode", "DROPMALFORMED").json(path).where("signature is not null")
-    last = Window.partitionBy("signature").orderBy(F.col("count").desc_nulls_last(), F.col("last_seen").desc_nulls_last())
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    """A knowledge base of JSON lines: lines that do not parse are left out; of a signature's lines the last counts."""
+    rows = spark.read.schema(KB).option("mode", "DROPMALFORMED").json(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at")).where("signature is not null")
+    last = Window.partitionBy("signature").orderBy(F.col("_at").desc())
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_at")
 
 
 def save_kb(kb: DataFrame, new_path: str) -> None:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions.tables import constant
 from siftspark.functions.text import classify_secret, java, redact, redact_entropy, signature, strip
 from siftspark.operators.catalog import GROUPS, SECRETS, Group, Rule
 
@@ -45,7 +46,7 @@ def rule_fires(rule: Rule) -> Column:
 def attributes(spark, groups: tuple[Group, ...]) -> DataFrame:
     """The rules' attributes by number: a fixed table, one row for each rule."""
     rows = [(i, g.probe, r.id, r.severity, r.title, float(r.confidence), list(r.tags), r.hint, g.column, g.test_paths or "(?!x)x", float(g.test_weight), LAYERS.index(g.layer), g.order, n) for i, (g, n, r) in enumerate((g, n, r) for g in groups for n, r in enumerate(g.rules))]
-    return spark.createDataFrame(rows, "rule int, probe string, rule_id string, severity string, title string, base double, tags array<string>, fix_hint string, column int, test_paths string, test_weight double, layer_ord int, probe_ord int, rule_ord int")
+    return constant(spark, rows, "rule int, probe string, rule_id string, severity string, title string, base double, tags array<string>, fix_hint string, column int, test_paths string, test_weight double, layer_ord int, probe_ord int, rule_ord int")
 
 
 def rule_numbers(groups: tuple[Group, ...]) -> Column:
@@ -114,8 +115,8 @@ def custom_rule_table(spark, rules: list[dict]) -> tuple[DataFrame, list[tuple[s
         except Exception as e:  # py4j wraps the syntax error
             bad.append((r["id"], str(e).splitlines()[0]))
             continue
-        good.append((r["id"], pattern, r["severity"], r["title"], r.get("message"), r.get("languages") or ["*"], r.get("fixHint") or "Review this match of a custom rule.", ["custom", *(r.get("tags") or [])], float(r.get("confidence") if r.get("confidence") is not None else 0.7), bool(r.get("skipTests"))))
-    return spark.createDataFrame(good, CUSTOM), bad
+        good.append((r["id"], pattern, r["severity"], r["title"], r.get("message"), r.get("languages") or ["*"], r.get("fixHint") or "Review this match of a custom rule.", ["custom", *(r.get("tags") or [])], min(1.0, max(0.0, float(r["confidence"]))) if isinstance(r.get("confidence"), (int, float)) else 0.7, bool(r.get("skipTests"))))
+    return constant(spark, good, CUSTOM), bad
 
 
 CUSTOM_TESTS = r"(^|/)(test|tests|__tests__|spec|fixtures?)/|\.(test|spec)\."

@@ -297,7 +297,8 @@ def pull_request_target(files: DataFrame) -> DataFrame:
 
 
 def debt_density(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Debt markers a file, and a thousand bytes."""
-    markers = findings.where("probe = 'static/debt'").groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("markers"))
-    return markers.join(files.select("path", "size"), "path").withColumn("density", F.round(F.col("markers") * 1000 / F.greatest("size", F.lit(1)), 6)).drop("size")
+    """Debt markers a file, and a thousand bytes; files of different repositories are kept apart."""
+    repo = ["repo"] if "repo" in findings.columns and "repo" in files.columns else []
+    markers = findings.where("probe = 'static/debt'").groupBy(*repo, F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("markers"))
+    return markers.join(files.select(*repo, "path", "size"), [*repo, "path"]).withColumn("density", F.round(F.col("markers") * 1000 / F.greatest("size", F.lit(1)), 6)).drop("size")
 

@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import catalog, findings as kept, history, lines as line_ops, structured
+from siftspark.functions.tables import constant
+from siftspark.operators import catalog, findings as kept, history, lines as line_ops, report, structured
 from siftspark.sources import files as sources
 
 
@@ -77,7 +78,7 @@ def _custom(c: Context) -> DataFrame:
     rules, bad = line_ops.custom_rule_table(c.spark, c.options.get("custom_rules") or [])
     faults = [("custom-rules-invalid", "Custom rules file is invalid", c.options["custom_error"])] if c.options.get("custom_error") else []
     faults += [("custom-rule-bad-regex", f'Custom rule "{id_}" has an invalid regex', error) for id_, error in bad]
-    told = c.spark.createDataFrame(faults, "r string, t string, m string").select(*structured.finding([], "static/custom-rules", F.col("r"), "low", F.col("t"), F.col("m"), source, 0.9, "Correct the rule.", ("config",), 10))
+    told = constant(c.spark, faults, "r string, t string, m string").select(*structured.finding([], "static/custom-rules", F.col("r"), "low", F.col("t"), F.col("m"), source, 0.9, "Correct the rule.", ("config",), 10))
     found = line_ops.scan_custom(c.lines, rules)
     for name in [x for x in found.columns if x not in told.columns]:  # partition columns such as repo
         told = told.withColumn(name, F.lit(None).cast(found.schema[name].dataType))
@@ -102,7 +103,7 @@ def _computed(spark: SparkSession, found: DataFrame, probe: str, seconds: float
 def _self_check(c: Context) -> DataFrame:
     """Findings about the engine itself: rules with an unknown severity, probes in an unknown layer. None in a sound build."""
     bad = [(g.probe, r.id) for g in catalog.GROUPS for r in g.rules if r.severity not in sources.SEVERITY_NAMES or not 0 <= r.confidence <= 1]
-    rows = c.spark.createDataFrame(bad, "p string, r string")
+    rows = constant(c.spark, bad, "p string, r string")
     return rows.select(*structured.finding([], "meta/self-integrity", "invalid-probe", "high", F.concat(F.lit("Rule breaks the schema: "), "r"), F.col("p"), F.lit("(engine)"), 1.0, "Correct the rule.", ("meta",), 99, layer="meta"))
 
 
@@ -147,19 +148,20 @@ class Result:
     findings_before_dedupe: DataFrame | None = None
 
 
-def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: bool = False, only: DataFrame | None = None, globs: list[str] = (), custom_rules: list[dict] | None = None, command_results: DataFrame | None = None, extra_probes=(), baseline: DataFrame | None = None, least: str = "info", marker: str = kept.MARKER, custom_error: str | None = None, isolate: bool = False, probe_seconds: float | None = None, walked: bool = False) -> Result:
+def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: bool = False, only: DataFrame | None = None, globs: list[str] = (), custom_rules: list[dict] | None = None, command_results: DataFrame | None = None, extra_probes=(), baseline: DataFrame | None = None, least: str = "info", marker: str = kept.MARKER, custom_error: str | None = None, isolate: bool = False, probe_seconds: float | None = None, walked: bool = False, gitignore: bool = True) -> Result:
     """Scans files (path, size, language, text; a column repo keeps repositories apart).
 
     Probes are planned one by one; one that fails is recorded in errors and the rest go
     on. With isolate, each probe's findings are also computed on their own, so that
     failures at run time are caught as well (for probes from elsewhere), and one that takes
-    over probe_seconds is stopped.
+    over probe_seconds is stopped. Directories that a repository's top-level .gitignore
+    names are left out unless gitignore is off; walked files are taken as they are.
     """
     registry = build_registry()
     for p in extra_probes:
         registry.register(p)
     events: list[tuple[str, str]] = [("walk", "start")]
-    seen = files if walked else sources.walk(files)
+    seen = files if walked else sources.walk(sources.without_gitignored(files) if gitignore else files)
     if only is not None and only.take(1):
         seen = sources.only_files(seen, only)
     lines = sources.lines(seen)
@@ -197,6 +199,12 @@ def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: boo
     return Result(out, raw, seen, errors, events, left)
 
 
+def scan_and_render(spark: SparkSession, root: str, kind: str = "table", **options) -> tuple[Result, str]:
+    """Scans all files under root; the result and its findings as text: table, json, jsonl, sarif or markdown."""
+    found = scan(spark, sources.read_files(spark, root), **options)
+    return found, report.render(found.findings, kind)
+
+
 def sweep(spark: SparkSession, files: DataFrame, **options) -> tuple[Result, DataFrame]:
     """One scan over many repositories (files with a column repo), and their risk, worst first."""
     result = scan(spark, files, **options)

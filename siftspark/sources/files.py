@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.tables import constant
 from siftspark.functions.text import compile_glob, detect_language, is_text_source, strip
 
 FILE_SCHEMA = "path string, size long, language string, text string"
@@ -24,22 +25,25 @@ PROJECT_MARKERS = ("package.json", ".git", "Cargo.toml", "go.mod", "pyproject.to
 SKIPPED_PROJECT_DIRS = ("node_modules", "dist", "build", "coverage", ".git", "vendor", "target")
 SEVERITY_NAMES = ("info", "low", "medium", "high", "critical")
 MOST_RULES = 500
+#: Repositories up to which their ignored names (some 100 bytes each) are sent to all executors.
+REPOS_SENT = 50_000
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """All files under root, or the one file that root is: path relative to root, size, language, text. A missing root gives no rows.
 
-    Files over the size bound are left out by the reader; their content is not loaded.
+    Files over the size bound are left out by the reader; their content is not loaded. Bytes
+    that are not UTF-8 become replacement characters.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return spark.createDataFrame([], FILE_SCHEMA)
+        return constant(spark, [], FILE_SCHEMA)
     full = fs.getFileStatus(path).getPath().toUri().getPath()
     base = full.rpartition("/")[0] if fs.getFileStatus(path).isFile() else full.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MOST_BYTES)
     relative = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")), "^[a-z0-9]+:(//[^/]*)?", "")), "^" + re.escape(base) + "/", "")
-    rows = found.select(relative.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text")).unionByName(_hidden_files(spark, fs, path, base))
+    rows = found.select(relative.alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).unionByName(_hidden_files(spark, fs, path, base))
     return rows.select("path", "size", detect_language(F.col("path")).alias("language"), "text")
 
 
@@ -65,7 +69,7 @@ def _hidden_files(spark: SparkSession, fs, root, base: str) -> DataFrame:
                     texts.append(stream.read().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], names=["path", "size", "text"])
 
-    listed = spark.createDataFrame(found, "path string, uri string, size long")
+    listed = spark.createDataFrame(found, "path string, uri string, size long") if found else constant(spark, [], "path string, uri string, size long")
     return listed.mapInArrow(read, "path string, size long, text string")
 
 
@@ -76,9 +80,28 @@ def from_table(rows: DataFrame, path: Column, text: Column) -> DataFrame:
 
 def gitignore_dirs(files: DataFrame) -> list[str]:
     """The plain directory names that the top-level .gitignore lists: one small file's lines."""
-    lines = files.where("path = '.gitignore'").select(F.explode(F.split("text", r"\r?\n", -1)).alias("l")).select(F.regexp_replace(strip(F.col("l")), "^/+|/+$", "").alias("n"), strip(F.col("l")).alias("l"))
-    good = lines.where(~F.col("l").rlike("^[#!]") & (F.col("n") != "") & ~F.col("n").rlike(r"[/*.]"))
-    return sorted(r["n"] for r in good.distinct().collect())
+    return sorted(r["n"] for r in _gitignored(files).distinct().collect())
+
+
+def _gitignored(files: DataFrame) -> DataFrame:
+    """(n, and repo where files have it) of the names that top-level .gitignore files list."""
+    repo = [c for c in files.columns if c == "repo"]
+    lines = files.where("path = '.gitignore'").select(*repo, F.explode(F.split("text", r"\r?\n", -1)).alias("l")).select(*repo, F.regexp_replace(strip(F.col("l")), "^/+|/+$", "").alias("n"), strip(F.col("l")).alias("l"))
+    return lines.where(~F.col("l").rlike("^[#!]") & (F.col("n") != "") & ~F.col("n").rlike(r"[/*.]")).select(*repo, "n")
+
+
+def without_gitignored(files: DataFrame) -> DataFrame:
+    """files without those in a directory that their repository's top-level .gitignore names.
+
+    The names are one small row a repository, sent to all executors if they are few.
+    """
+    dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    if "repo" not in files.columns:
+        names = gitignore_dirs(files)
+        return files.where(~F.arrays_overlap(dirs, F.array(*map(F.lit, names)))) if names else files
+    listed = _gitignored(files).groupBy(F.col("repo").alias("_repo")).agg(F.collect_set("n").alias("_names"))
+    named = files.join(F.broadcast(listed) if listed.limit(REPOS_SENT + 1).count() <= REPOS_SENT else listed, F.col("repo").eqNullSafe(F.col("_repo")), "left")
+    return named.where(F.col("_names").isNull() | ~F.arrays_overlap(dirs, "_names")).drop("_repo", "_names")
 
 
 def walk(files: DataFrame, ignore_dirs: tuple[str, ...] = tuple(IGNORED_DIRS), include_non_source: bool = False, most_files: int | None = None) -> DataFrame:

@@ -56,9 +56,10 @@ FILES: tuple[tuple[str, str], ...] = (
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, language, line_no, line): the events' lines, numbered by event within a path."""
+    from siftspark.functions.tables import constant
     from siftspark.functions.text import detect_language
 
-    made = F.broadcast(spark.createDataFrame([(i, PATHS[e], t) for i, (e, t) in enumerate(TEMPLATES)], "i long, at string, template string"))  # a fixed table of some 100 rows
+    made = F.broadcast(constant(spark, [(i, PATHS[e], t) for i, (e, t) in enumerate(TEMPLATES)], "i long, at string, template string"))  # a fixed table of some 100 rows
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     rows = events.join(made, F.pmod("event_id", F.lit(len(TEMPLATES))) == F.col("i"))
     rows = rows.select("event_id", F.concat(F.lit("repo"), F.pmod("user_id", F.lit(REPOS)).cast("string")).alias("repo"), F.replace("at", F.lit("{U}"), F.col("user_id").cast("string")).alias("path"), F.replace("template", F.lit("{N}"), F.col("event_id").cast("string")).alias("line"))

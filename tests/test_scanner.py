@@ -270,3 +270,26 @@ def test_report_is_read_again(spark, tmp_path):
     (tmp_path / "r.json").write_text(report.render(found, "json"))
     seen = history.observe(history.read_report(spark, f"{tmp_path}/r.json"))
     assert seen.first()["signature"] == found.first()["signature"] and seen.first()["count"] == 1
+
+
+def test_files_that_are_not_utf8_and_ignored_directories(spark, tmp_path):
+    import siftspark
+
+    for name, content in {".gitignore": b"private/\n# a remark\n*.log\n", "private/c.js": b"eval(x)\n", "a.js": b"var s = '\xff\xfe';\neval(x)\n", "sub/private/d.js": b"eval(x)\n"}.items():
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(content)
+    result, text = siftspark.scan_and_render(spark, str(tmp_path), probes=("static/dangerous-js",))
+    assert {r["file"] for r in result.findings.collect()} == {"a.js"} and "a.js" in text
+    both = siftspark.scan(spark, result.files.limit(0).unionByName(sources.read_files(spark, str(tmp_path))), probes=("static/dangerous-js",), gitignore=False)
+    assert {r["file"] for r in both.findings.collect()} == {"a.js", "private/c.js", "sub/private/d.js"}
+    rows = [("one", ".gitignore", "gen\n"), ("one", "gen/a.js", "eval(x)"), ("two", "gen/a.js", "eval(x)")]
+    frame = spark.createDataFrame([(r, p, len(t), "javascript", t) for r, p, t in rows], "repo string, path string, size long, language string, text string")
+    assert {r["repo"] for r in siftspark.scan(spark, frame, probes=("static/dangerous-js",)).findings.collect()} == {"two"}
+    document = history.baseline_document(result.findings, "r").first()
+    assert document["total"] >= 1 and sum(document["by_rule"].values()) == result.findings.count() and document["root"] == "r"
+
+
+def test_last_line_of_a_signature_counts(spark, tmp_path):
+    (tmp_path / "kb.jsonl").write_text('{"signature": "a", "count": 9}\n{"signature": "b", "count": 1}\nno json\n{"signature": "a", "count": 2}\n')
+    assert {(r["signature"], r["count"]) for r in history.load_kb(spark, str(tmp_path / "kb.jsonl")).collect()} == {("a", 2), ("b", 1)}
