@@ -55,12 +55,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rules as host, path and verdict, and listed sites for URLs that no rule fits.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+URL_BULK = 4096  # more sites of the list, by number
 URL_LISTED = [("spam-farm.example.com", "", "block"), ("spam-farm.example.net", "", "block"), ("spam-farm.example.org", "", "block")]
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.judge(pages, url_filter.rules_of(spark, URL_RULES), url_filter.rules_of(spark, URL_LISTED))
+    bulk = spark.range(URL_BULK).select(F.concat(F.lit("bulk-"), "id", F.lit(".example.org")).alias("host"), F.lit("").alias("path"), F.lit("block").alias("verdict"))
+    judged = url_filter.judge(pages, url_filter.rules_of(spark, URL_RULES), url_filter.rules_of(spark, URL_LISTED).union(bulk))
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
@@ -119,7 +121,7 @@ def _values(entries: list[tuple[str, str, str]]) -> str:
 
 
 _OP8 = f"""
-WITH r(rh, rp, rv) AS (VALUES {_values(URL_RULES)}), l(lh, lp, lv) AS (VALUES {_values(URL_LISTED)}),
+WITH r(rh, rp, rv) AS (VALUES {_values(URL_RULES)}), l(lh, lp, lv) AS (VALUES {_values(URL_LISTED)} UNION ALL SELECT 'bulk-' || i || '.example.org', '', 'block' FROM range({URL_BULK}) t(i)),
 p AS (SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, contains(coalesce(url, ''), '://') AS good FROM pages),
 a AS (SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv FROM p JOIN r ON good AND (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
 b AS (SELECT rid, arg_max(lv, length(lh || lp)) AS lv FROM p JOIN l ON good AND (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, lp) GROUP BY rid)

@@ -14,11 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions.tables import constant
+from siftspark.llm.common import met
+
 #: Bits a listed key sets in its block, and blocks a listed key.
 BITS, BLOCKS_PER_KEY = 4, 0.5
-#: Rows up to which the filter's blocks (16 bytes each) or the list (some 100 bytes each) are sent to all executors.
+#: Blocks (16 bytes each) up to which the filter, and rows (some 100 bytes each) up to which the list is sent to all executors.
 BLOCKS_SENT, LIST_SENT = 500_000, 50_000
-#: Distinct lengths of listed paths; a list with more is refused, since each is a candidate of every URL.
+#: Distinct lengths of listed paths up to which only prefixes of these lengths are candidates; beyond, all are.
 MOST_LENGTHS = 64
 
 
@@ -51,40 +54,46 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 def rules_of(spark, entries: list[tuple[str, str, str]]) -> DataFrame:
     """A list of (host, path, verdict) as a DataFrame."""
-    return spark.createDataFrame(entries, "host string, path string, verdict string")
+    return constant(spark, entries, "host string, path string, verdict string")
+
+
+def _candidates(lengths: list[int] | None) -> Column:
+    """A URL's keys: suffixes of host with prefixes of path, of the given lengths or of all."""
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    every = F.sequence(F.lit(0), F.length("path")) if lengths is None else F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    return F.flatten(F.transform(suffixes, lambda x: F.transform(every, lambda n: F.concat(x, F.lit(" "), F.substring("path", F.lit(1), n)))))
 
 
 def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, host, path, rule, verdict) of the distinct urls of a column url that an entry of rules fits; the longest wins.
+    """(url, rule, verdict) of the distinct urls of a column url that an entry of rules fits; the longest wins.
 
     rules has host, path ('' fits all paths) and verdict; longest is by characters of
-    host and path together, ties go to the longer host, then to block over allow. URLs
-    are judged once each, candidate keys that many URLs share are looked up once each.
+    host and path together, ties go to the longer host, then to block over allow. The
+    filter is tested where the URLs are read: only keys that pass it are shuffled, to the
+    exact join. A filter of more than BLOCKS_SENT blocks is joined by block instead.
     """
-    spark = urls.sparkSession
-    listed = rules.select(F.concat("host", F.lit(" "), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long"))
-    shape = rules.select(F.length("path").alias("n")).distinct().limit(MOST_LENGTHS + 1).collect()
-    if len(shape) > MOST_LENGTHS:
-        raise ValueError(f"listed paths have more than {MOST_LENGTHS} lengths")
-    lengths = sorted(r["n"] for r in shape)
-    size = rules.count()
-    blocks = max(1, int(size * BLOCKS_PER_KEY) + 1)
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    prefixes = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n) if n else F.lit("")) for n in lengths)) if lengths else F.array().cast("array<string>")
-    parts = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = parts.withColumn("labels", labels).withColumn("prefix", F.explode(F.filter(prefixes, lambda x: x.isNotNull()))).withColumn("suffix", F.explode(suffixes))
-    keyed = parts.select("url", F.concat("suffix", F.lit(" "), "prefix").alias("key"))
-    filter_ = bloom(listed.select("key"), blocks).withColumnRenamed("block", "b")
+    strict = F.struct((F.col("verdict") == "block").cast("int").alias("strict"), "verdict")
+    listed = rules.groupBy("host", "path").agg(F.max(strict).alias("s")).select(F.concat("host", F.lit(" "), "path").alias("key"), F.concat("host", "path").alias("rule"), "s.strict", "s.verdict", F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long"), F.length("path").alias("n"))
+    about = listed.agg(F.count(F.lit(1)).alias("size"), F.slice(F.sort_array(F.collect_set(F.least("n", F.lit(MOST_LENGTHS * 100)))), 1, MOST_LENGTHS + 1).alias("lengths")).first()
+    size, blocks = about["size"], max(1, int(about["size"] * BLOCKS_PER_KEY) + 1)
+    listed = listed.drop("n")
+    # with very many lengths all prefixes of a path are its candidates: more keys to test, none lost
+    few = about["lengths"] if len(about["lengths"]) <= MOST_LENGTHS and max(about["lengths"], default=0) < MOST_LENGTHS * 100 else None
+    parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    keyed = parts.select("url", F.explode(_candidates(few)).alias("key")).withColumn("block", _block(F.col("key"), blocks))
+    words = bloom(listed.select("key"), blocks)
     if blocks <= BLOCKS_SENT:
-        filter_ = F.broadcast(filter_)
-    distinct = keyed.select("key").distinct().select("key", _block(F.col("key"), blocks).alias("block"), _bits(F.col("key")).alias("bits"))
-    passed = distinct.join(filter_, F.col("block") == F.col("b")).where(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits")).select("key")
-    exact = passed.join(F.broadcast(listed) if size <= LIST_SENT else listed, "key")
-    if size <= LIST_SENT:  # keys are distinct here, so exact has no more rows than the list
-        exact = F.broadcast(exact)
-    best = F.struct("long", "host_long", (F.col("verdict") == "block").cast("int").alias("strict"), "rule", "verdict")
-    return keyed.join(exact, "key").groupBy("url").agg(F.max(best).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+        tested = keyed.join(F.broadcast(words), "block")
+    else:
+        tested = met(keyed, words.join(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block"), "block")
+    hits = tested.where(F.col("word").bitwiseAND(_bits(F.col("key"))) == _bits(F.col("key"))).select("url", "key")
+    if size <= LIST_SENT:
+        exact = hits.join(F.broadcast(listed), "key")
+    else:
+        exact = met(hits, listed.join(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), "key")
+    best = F.struct("long", "host_long", "strict", "rule", "verdict")
+    return exact.groupBy("url").agg(F.max(best).alias("best")).select("url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:

@@ -497,7 +497,7 @@ def test_rules_on_lines(spark, odd):
     assert quality_rules.judge(odd).count() == len(ODD) and quality_rules.judge(odd.limit(0)).count() == 0
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     cases = {
         "http://A.Example.COM/en/7x": ("example.com/en/7", "allow"), "https://a.b.com/en/?q": ("com/en/", "block"), "x://example.net/de/8": ("example.net/de/8", "block"), "x://other.net/de/8": ("net/de/", "allow"), "http://notexample.com/en/7": ("com/en/", "block"),
         "http://example.com/e": (None, "allow"), "http://spam-farm.example.org/en/1": (None, "block"), "nothing": (None, "allow"), "": (None, "allow"), "http://": (None, "allow"), "http://com/en/#://x": ("com/en/", "block"),
@@ -510,6 +510,11 @@ def test_urls(spark):
             assert (r["rule"], r["verdict"]) == cases[r["row"]["url"]], r
         if r["row"]["url"] is None:
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == ("", "", None, "allow")
+    for name, value in (("MOST_LENGTHS", 1), ("BLOCKS_SENT", 0), ("LIST_SENT", 0)):  # the other way beyond each bound
+        monkeypatch.setattr(url_filter, name, value)
+        again = rows_of(url_filter.judge(frame, url_filter.rules_of(spark, queries.URL_RULES), url_filter.rules_of(spark, queries.URL_LISTED)))
+        assert sorted(map(str, again)) == sorted(map(str, found))
+    monkeypatch.undo()
     empty = url_filter.rules_of(spark, [])
     assert {r["verdict"] for r in rows_of(url_filter.judge(frame, empty, empty))} == {"allow"}
     assert url_filter.judge(frame.limit(0), url_filter.rules_of(spark, queries.URL_RULES), empty).count() == 0
