@@ -19,30 +19,29 @@ from pyspark.sql import functions as F
 
 #: Learning rows: at most this many texts of each language, the first by hashed text; of these the first are landmarks.
 ROWS, LANDMARKS = 400, 48
-#: Languages at most: each has its own weights.
-MOST_LANGUAGES = 500
+#: Learning rows and landmarks of all languages together, as long as each language has one: with many languages each has fewer.
+ALL_ROWS, ALL_LANDMARKS = 100_000, 512
 #: Characters of a text whose n-grams are numbered at once.
 CHUNK = 1 << 20
-#: Letters' bytes map to 1 and up, all other ASCII to 0: lower-cased a-z, then the bytes of non-ASCII characters.
-CLASSES = 128
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
-_CLASS[0x80:0xC0] = np.arange(27, 91)
-_CLASS[0xC0:0x100] = 91 + np.arange(64) % 37
+BLANK, BITS = 1, 21
 
 
-def presence(data: bytes) -> np.ndarray:
-    """The sorted numbers of a whole text's distinct n-grams, n from 1 to 3 bytes; runs of other ASCII count as one blank."""
-    codes = _CLASS[np.frombuffer(data, np.uint8)]
+def presence(text: str) -> np.ndarray:
+    """The sorted numbers of a whole text's distinct n-grams, n from 1 to 3 characters, in lower case; runs of ASCII that is no letter count as one blank.
+
+    An n-gram's number is its characters' code points side by side, so no two share one.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if not len(codes):
         return np.empty(0, np.int64)
-    codes = codes[np.concatenate(([True], (codes[1:] > 0) | (codes[:-1] > 0)))]
+    codes[(codes < 97) | (codes > 122) & (codes < 128)] = BLANK
+    codes = codes[np.concatenate(([True], (codes[1:] > BLANK) | (codes[:-1] > BLANK)))]
     found = []
     for at in range(0, len(codes), CHUNK):  # neighbours overlap by two, so no n-gram is lost between them
-        part = codes[max(0, at - 2) : at + CHUNK].astype(np.int64)
-        two = part[:-1] * CLASSES + part[1:]
-        three = two[:-1] * CLASSES + part[2:]
-        found.append(np.unique(np.concatenate((part, CLASSES + two, CLASSES + CLASSES**2 + three))))
+        part = codes[max(0, at - 2) : at + CHUNK]
+        two = part[:-1] << BITS | part[1:]
+        three = two[:-1] << BITS | part[2:]
+        found.append(np.unique(np.concatenate((part, two, three))))
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
@@ -91,20 +90,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
     """Learns from docs' texts and non-null languages; None where there is none.
 
     Of each language rows distinct texts are used, the first by hashed text, or all where
-    there are fewer; copies do not count. Landmarks of these span the approximation. All
-    else is bounded by that.
+    there are fewer; copies do not count. Landmarks of these span the approximation. With so
+    many languages that ALL_ROWS or ALL_LANDMARKS would be exceeded, each has its share, one
+    at least. Where no text has a character but blanks nothing is learned, and all is und.
     """
-    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("key"), "text")
-    languages = docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("key"), "text")
+    languages = docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").distinct().count()
     if not languages:
         return None
+    rows, landmarks = max(1, min(rows, ALL_ROWS // languages)), max(1, min(landmarks, ALL_LANDMARKS // languages))
     # each partition keeps its own first keys of a language, so that what is shuffled and sorted is bounded by these
     keys = texts.select("lang", "key").mapInArrow(_first_keys(rows), "lang string, key long").distinct()
     first = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= rows)
-    # first has at most rows keys for each of MOST_LANGUAGES languages: some MB
-    chosen = texts.join(F.broadcast(first), ["lang", "key"]).groupBy("lang", "key", "r").agg(F.first("text").alias("text"))
+    # of at most ALL_ROWS keys, or one a language
+    chosen = texts.join(F.broadcast(first) if languages <= ALL_ROWS else first, ["lang", "key"]).groupBy("lang", "key", "r").agg(F.first("text").alias("text"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +147,7 @@ def _identify(model: Model | None):
                 known = [model is not None and any(map(str.isalpha, t)) for t in texts]
                 langs, values = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if rows := [k for k, x in enumerate(known) if x]:
-                    best, score = model.predict([presence(texts[k].encode()) for k in rows])
+                    best, score = model.predict([presence(texts[k]) for k in rows])
                     for k, b, s in zip(rows, best, score, strict=True):
                         langs[k], values[k] = model.languages[b], float(s)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(values, pa.float64())], names=["id", "lang", "score"])

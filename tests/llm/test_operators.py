@@ -556,10 +556,11 @@ def test_languages_on_held_out_rows(spark):
 def test_kernel_is_the_cosine_of_ngram_sets(spark, odd):
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
     one, two = "the cat and dog", "the dog and cow"
-    a, b = set(langid.presence(one.encode())), set(langid.presence(two.encode()))
+    a, b = set(langid.presence(one)), set(langid.presence(two))
     assert len(a & b) == len(grams(one) & grams(two)) and len(a) == len(grams(one))
-    assert set(langid.presence(b"The  CAT, and; dog")) == a and len(langid.presence(b"")) == 0
-    big = ("abc def " * 300_000).encode()
+    assert set(langid.presence("The  CAT, and; dog")) == a and len(langid.presence("")) == 0
+    assert len(langid.presence("\u6f22\u5b57\u00e9")) == len(grams("\u6f22\u5b57\u00e9")) and set(langid.presence("\u00c9\u0416")) == set(langid.presence("\u00e9\u0436"))
+    big = "abc def " * 300_000
     assert set(langid.presence(big)) == set(langid.presence(big[:100]))
     model = langid.fit(odd)
     found = {r["id"]: r for r in rows_of(langid.identify(odd, model))}
@@ -567,6 +568,41 @@ def test_kernel_is_the_cosine_of_ngram_sets(spark, odd):
     assert langid.fit(odd.limit(0)) is None and {r["lang"] for r in rows_of(langid.identify(odd, None))} == {"und"}
 
 
+def test_more_languages_than_landmarks(spark):
+    rows = [(k, " ".join(chr(0x4E00 + 7 * k + j) * 2 for j in range(4)), f"l{k:04d}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert len(model.languages) == 600 and model.spans.shape[1] == 600
+    assert sum(r["lang"] == f"l{r['id']:04d}" for r in rows_of(langid.identify(frame, model))) >= 590
+
+
+def test_model_is_nystroem_ridge_by_hand(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(frame, rows=12, landmarks=5)
+    names = {r["doc_id"]: r for r in rows_of(frame)}
+    key = lambda t: t
+    learned = defaultdict(list)
+    hashed = frame.select(F.xxhash64(F.col("text")).alias("h"), "text", "lang").where("text is not null and lang is not null").distinct().collect()
+    for r in sorted(hashed, key=lambda r: r["h"]):
+        learned[r["lang"]].append(set(langid.presence(key(r["text"])).tolist()))
+    use = [(lang, k, s) for lang in sorted(learned) for k, s in enumerate(learned[lang][:12]) if s]
+    marks = [s for _, k, s in use if k < 5]
+    cosine = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    among = np.array([[cosine(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(among)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.array([[cosine(s, m) for m in marks] for *_, s in use]) @ root
+    langs = sorted({lang for lang, *_ in use})
+    y = np.array([[float(lang == o) for o in langs] for lang, *_ in use])
+    weight = np.diag([len(use) / len(langs) / sum(o == lang for o, *_ in use) for lang, *_ in use])
+    solved = np.linalg.solve(x.T @ weight @ x + 1e-2 * np.eye(x.shape[1]) * len(use) / 100, x.T @ weight @ y)
+    texts = [r["text"] for r in names.values() if r["text"] and any(map(str.isalpha, r["text"]))][:60]
+    ours = model.kernel([langid.presence(t) for t in texts]) @ model.weights
+    theirs = np.array([[cosine(set(langid.presence(t).tolist()), m) for m in marks] for t in texts]) @ root @ solved
+    assert model.languages == langs and np.allclose(ours, theirs, atol=2e-3)
+
+
 def test_copies_do_not_crowd_out_a_language(spark, monkeypatch):
     few = spark.range(100_000).select(F.concat(F.lit("wenige deutsche texte "), (F.col("id") % 30).cast("string"), F.translate((F.col("id") % 30).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("de").alias("lang"))
     many = spark.range(1000).select(F.concat(F.lit("many english texts "), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")).alias("text"), F.lit("en").alias("lang"))
