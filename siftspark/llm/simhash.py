@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm.common import met, written
@@ -315,6 +315,11 @@ def _across(mixed: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return minor.join(all_, ["shingle", "f"]).where((F.col("root") != F.col("of")) & alike & enough).select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
 
 
+def _key(digest: Column, id_: Column) -> Column:
+    """One key of a text's digest and its row's id, null or not."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8) -> DataFrame:
     """(id, digest, component, component_digest) of the distinct texts: texts of one component are linked by similarity.
 
@@ -351,10 +356,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = written(met(shared.select("key", "node"), heads, "key").select(*pair("node", "head")).union(equal.select(*pair("node", "head"))).union(balls.select(*pair("a", "b"))).where("src <> dst").distinct())
     wanted = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
     asked = written(nodes.join(wanted, "node").select("node", "size", "sign", "digest", "id"))
-    named = written(asked.select("node", F.col("id").alias("_i")))  # a narrow table, sent to all executors while it is small
-    # one row of each text that has a candidate; equal texts of one id are equal rows
-    own = texts.select(F.xxhash64("digest").alias("node"), "id", "text")
-    stored = written(own.join(named, (own["node"] == named["node"]) & own["id"].eqNullSafe(named["_i"])).select(own["node"], "text").groupBy("node").agg(F.first("text").alias("text")))
+    named = written(asked.select(_key(F.col("digest"), F.col("id")).alias("key"), "node"))  # a narrow table, sent to all executors while it is small
+    # one row of each text that has a candidate; equal texts of one id are equal rows, found where the join has dealt them
+    stored = written(texts.select(_key(F.col("digest"), F.col("id")).alias("key"), "text").join(named, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
     blocks = max(1, -(-(asked.agg(F.sum("size").alias("s")).first()["s"] or 0) // BLOCK))
     verified = lambda candidates: _linked(candidates, asked, stored, blocks, words, similarity)
     links, tried = verified(pairs), pairs
@@ -382,6 +386,7 @@ def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, with their columns, that stay: one of each group of near_duplicate_groups, that of the smallest id."""
     kept = near_duplicate_groups(docs, id_col, text_col, **options).where("digest = component_digest").select(F.col("digest").alias("_d"), F.col("id").alias("_i"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.md5(text).alias("_digest"), F.col(id_col).alias("_id"))
-    alone = rows.join(kept, (rows["_digest"] == kept["_d"]) & rows["_id"].eqNullSafe(kept["_i"])).groupBy("_digest").agg(F.first("_row").alias("_row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _key(F.md5(text), F.col(id_col)).alias("_key"))
+    # dealt once: the join's key is the group's, so whole rows are not shuffled again to find repeated ones
+    alone = rows.join(kept.select(_key(F.col("_d"), F.col("_i")).alias("_key")), "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
     return alone.select("_row.*")
