@@ -111,6 +111,11 @@ def main() -> int:
             changed = fixes.applicable(fixed).select(F.col("file").alias("path")).distinct()
             for r in fixes.files_of(fixes.apply_fixes(lines, fixed).join(changed, "path", "left_semi")).toLocalIterator():
                 Path(a.path, r["path"]).write_text(r["text"])
+            for r in fixes.created_files(files, fixed).collect():  # one row at most: fixes create only the ignore file
+                if not Path(a.path, r["path"]).exists():
+                    Path(a.path, r["path"]).write_text(r["text"])
+            for r in fixes.outcomes(files, fixed).groupBy("outcome").count().orderBy("outcome").collect():
+                print(f"{r['outcome']}: {r['count']}")
         for r in kept.ranked(fixed, 40).collect():
             print(f"{r['file']}:{r['line']} {r['rule_id']}: {r['fix']['note']}\n{r['fix']['patch']}\n")
         return code

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions.text import env_name, java, strip
@@ -77,6 +77,34 @@ def apply_fixes(lines: DataFrame, findings: DataFrame, least: float = 0.7) -> Da
     return done.withColumn("line", F.coalesce("f.replacement", "line")).drop("f")
 
 
+def created_files(files: DataFrame, findings: DataFrame, least: float = 0.7) -> DataFrame:
+    """(keys, path, text) of the files that applicable create-file fixes make, once each; none where files has the path already."""
+    keys = [c for c in files.columns if c == "repo"]
+    made = applicable(findings, least).where("fix.strategy = 'create-file'").groupBy(*keys, F.col("fix.create_path").alias("path")).agg(F.min("fix.replacement").alias("text"))
+    return made.join(files.select(*keys, "path"), [*keys, "path"], "left_anti")
+
+
+def outcomes(files: DataFrame, findings: DataFrame, least: float = 0.7) -> DataFrame:
+    """Findings with a column outcome: applied, or why a fix was skipped: review (not safe by itself), exists (its file is there), superseded (another fix of the line counts).
+
+    Of several fixes of a line the one that apply_fixes takes is applied; equal ones all are.
+    """
+    keys = [c for c in files.columns if c == "repo"]
+    order = F.struct(F.col("fix.strategy") == "delete-line", "fix.confidence", "fix.replacement")
+    line = Window.partitionBy(*keys, "file", "line")
+    there = files.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("path").alias("_path")).distinct()
+    same = F.col("fix.create_path") == F.col("_path")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    safe = applicable(findings, least).where("fix.strategy <> 'insert'")
+    edits = safe.where("fix.strategy in ('replace-line', 'delete-line')").withColumn("_o", order)
+    edits = edits.withColumn("outcome", F.when(F.col("_o") == F.max("_o").over(line), "applied").otherwise("superseded")).drop("_o")
+    creations = safe.where("fix.strategy = 'create-file'").join(there, same, "left").withColumn("outcome", F.when(F.col("_path").isNull(), "applied").otherwise("exists")).drop("_path", *(f"_{k}" for k in keys))
+    applies = F.coalesce(F.col("fix.auto") & (F.col("fix.confidence") >= least) & F.col("fix.strategy").isin("replace-line", "delete-line", "create-file"), F.lit(False))
+    rest = findings.where(~applies).withColumn("outcome", F.lit("review"))
+    return edits.unionByName(creations).unionByName(rest)
+
+
 def files_of(lines: DataFrame) -> DataFrame:
     """Files of lines: (keys, path, language, text)."""
     keys = [c for c in lines.columns if c not in ("line_no", "line")]

@@ -151,6 +151,26 @@ def test_fixes_clear_their_findings(spark):
     assert create["strategy"] == "create-file" and ".env" in create["replacement"]
 
 
+def test_fixes_create_files_and_say_what_became_of_each(spark):
+    texts = {"package.json": "{}", "a.js": "debugger;\nconst dbPassword = 'sup3rSecretValue!';\n"}
+    files = files_of(spark, texts)
+    found = fixes.with_fixes(scan(spark, files).findings, sources.lines(files))
+    fixed = spark.createDataFrame(found.collect(), found.schema)
+    made = fixes.created_files(files, fixed).collect()
+    assert [r["path"] for r in made] == [".gitignore"] and ".env" in made[0]["text"]
+    outcome = {r["rule_id"]: r["outcome"] for r in fixes.outcomes(files, fixed).collect()}
+    assert outcome["missing-gitignore"] == outcome["debugger-stmt"] == "applied" and outcome["hardcoded-password"] == "review"
+    there = files_of(spark, {**texts, ".gitignore": "dist/"})
+    assert fixes.created_files(there, fixed).count() == 0
+    assert {r["rule_id"]: r["outcome"] for r in fixes.outcomes(there, fixed).collect()}["missing-gitignore"] == "exists"
+    assert fixes.outcomes(files, fixed).count() == fixed.count()
+    # two fixes of one line: the more confident one counts
+    line = fixed.where("rule_id = 'debugger-stmt'")
+    other = line.withColumn("rule_id", F.lit("other")).withColumn("fix", F.expr("named_struct('strategy', 'replace-line', 'original', fix.original, 'replacement', '', 'patch', fix.patch, 'note', fix.note, 'auto', true, 'confidence', 0.9D, 'create_path', cast(null as string))").cast(fixes.FIX))
+    both = {r["rule_id"]: r["outcome"] for r in fixes.outcomes(files, line.unionByName(other)).collect()}
+    assert both == {"debugger-stmt": "applied", "other": "superseded"}
+
+
 def test_env_names(spark):
     names = {"dbPassword": "DB_PASSWORD", "API_KEY": "API_KEY", "stripe-secret": "STRIPE_SECRET", "client.secret": "CLIENT_SECRET"}
     rows = spark.createDataFrame([(k,) for k in names], "n string").select("n", T.env_name(F.col("n")).alias("e")).collect()
