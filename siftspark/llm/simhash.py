@@ -146,6 +146,8 @@ TURNS = 8
 FEW = 16
 #: Texts of one shingle that are paired in one task with all others of it.
 FRAGMENT = 1000
+#: Words of a filter of texts at most, four texts a word.
+WORDS = 1 << 20
 
 
 def _agreements(similarity: float) -> int:
@@ -315,13 +317,29 @@ def _across(mixed: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return minor.join(all_, ["shingle", "f"]).where((F.col("root") != F.col("of")) & alike & enough).select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
 
 
+def _sifted(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows with a column hit, false only where their node is none of listed's: for exact joins that need not shuffle all rows.
+
+    A blocked Bloom filter: a node chooses a 64-bit word and sets four of its bits. The words
+    are sent to all executors, WORDS at most (16 bytes each); beyond what these can tell
+    apart more rows are a hit, and are shuffled.
+    """
+    words = min(max(listed.count() // 4, 1 << 10), WORDS)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("node", 6 * k).bitwiseAND(63).cast("int"))
+    mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+    place = F.pmod(F.shiftright("node", 24), F.lit(words)).alias("_place")
+    table = written(listed.select(place, mask.alias("_mask")).groupBy("_place").agg(F.bit_or("_mask").alias("_word")))
+    found = rows.select("*", place, mask.alias("_mask")).join(F.broadcast(table), "_place", "left")
+    return found.withColumn("hit", F.coalesce(F.col("_word").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))).drop("_place", "_mask", "_word")
+
+
 def _key(digest: Column, id_: Column) -> Column:
     """One key of a text's digest and its row's id, null or not."""
     return F.concat(digest, F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 50, rows: int = 8) -> DataFrame:
-    """(id, digest, component, component_digest) of the distinct texts: texts of one component are linked by similarity.
+    """(id, digest, component, component_digest, alone) of the distinct texts: texts of one component are linked by similarity.
 
     Similarity is the Jaccard index of the sets of words-word shingles of lower-cased
     words, checked on whole texts. Candidates share a ball of SimHashes of these sets, or a
@@ -338,13 +356,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null texts are empty; equal texts are one node, texts without words are alike. id is a
     distinct text's smallest id (null if all are null), of any type that can be ordered;
     component is the smallest id of its component, null only if it has no other;
-    component_digest is the md5 of that one's text. An empty table gives no rows.
+    component_digest is the md5 of that one's text; alone says that one row has the text and
+    none is linked to it. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text"))
     sketched = texts.mapInArrow(_sketch(words, bands, rows), f"id {kind}, digest string, size long, fp long, keys array<long>, sign binary")
-    nodes = written(sketched.groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "fp", "keys", "sign"))).withColumn("node", F.xxhash64("digest")))
+    nodes = written(sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "fp", "keys", "sign"))).withColumn("node", F.xxhash64("digest")))
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")))
     balls = ball_links(prints.select("fp")).join(prints.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(prints.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
     equal = met(nodes.select("node", "fp"), prints.where("n > 1"), "fp")
@@ -358,7 +377,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     asked = written(nodes.join(wanted, "node").select("node", "size", "sign", "digest", "id"))
     named = written(asked.select(_key(F.col("digest"), F.col("id")).alias("key"), "node"))  # a narrow table, sent to all executors while it is small
     # one row of each text that has a candidate; equal texts of one id are equal rows, found where the join has dealt them
-    stored = written(texts.select(_key(F.col("digest"), F.col("id")).alias("key"), "text").join(named, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+    may = _sifted(texts.withColumn("node", F.xxhash64("digest")), named).where("hit")
+    stored = written(may.select(_key(F.col("digest"), F.col("id")).alias("key"), "text").join(named, "key").groupBy("key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
     blocks = max(1, -(-(asked.agg(F.sum("size").alias("s")).first()["s"] or 0) // BLOCK))
     verified = lambda candidates: _linked(candidates, asked, stored, blocks, words, similarity)
     links, tried = verified(pairs), pairs
@@ -376,17 +396,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = verified(pairs)
     if more.limit(1).count():
         roots = components(links.union(more))
-    found = written(nodes.select("digest", "id", "node").join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root")))
+    found = written(nodes.select("digest", "id", "copies", "node").join(roots, "node", "left").select("digest", "id", "copies", F.coalesce("root", "node").alias("root")))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     best = found.groupBy("root").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).select("root", F.col("best.id").alias("component"), F.col("best.digest").alias("component_digest"), "n")
-    return met(found, best, "root").select("digest", "id", "component", "component_digest")
+    return met(found, best, "root", "texts").select("digest", "id", "component", "component_digest", ((F.col("copies") == 1) & (F.col("texts") == 1)).alias("alone"))
 
 
 def near_deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with their columns, that stay: one of each group of near_duplicate_groups, that of the smallest id."""
-    kept = near_duplicate_groups(docs, id_col, text_col, **options).where("digest = component_digest").select(F.col("digest").alias("_d"), F.col("id").alias("_i"))
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _key(F.md5(text), F.col(id_col)).alias("_key"))
+    groups = written(near_duplicate_groups(docs, id_col, text_col, **options))
+    kept = groups.where("digest = component_digest").select(_key(F.col("digest"), F.col("id")).alias("_key"))
+    text = F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _key(text, F.col(id_col)).alias("_key"), F.xxhash64(text).alias("node"))
+    # only rows whose text may have copies or a link are dealt by key; a text that is alone stays where it is read
+    tested = _sifted(rows, groups.where("not alone").select(F.xxhash64("digest").alias("node")))
     # dealt once: the join's key is the group's, so whole rows are not shuffled again to find repeated ones
-    alone = rows.join(kept.select(_key(F.col("_d"), F.col("_i")).alias("_key")), "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
-    return alone.select("_row.*")
+    dealt = tested.where("hit").join(kept, "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
+    return tested.where("not hit").select("_row").union(dealt.select("_row")).select("_row.*")

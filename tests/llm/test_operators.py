@@ -199,6 +199,15 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.simhash_groups(odd.limit(0)).count() == 0
 
 
+def test_sifting_loses_no_listed_row(spark):
+    rows = spark.range(40_000).select(F.xxhash64("id").alias("node"), (F.col("id") % 10 == 0).alias("listed"))
+    found = simhash._sifted(rows, rows.where("listed").select("node"))
+    told = {(r["listed"], r["hit"]): r["count"] for r in found.groupBy("listed", "hit").count().collect()}
+    assert told.get((True, True)) == 4000 and (True, False) not in told
+    assert told.get((False, True), 0) < 0.02 * 36_000 and sum(told.values()) == 40_000
+    assert simhash._sifted(rows, rows.limit(0).select("node")).where("hit").count() == 0
+
+
 def test_near_duplicates_are_those_of_brute_force(spark, docs, odd):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(400)) for _ in range(200)) for _ in range(12)]
