@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
+from re import _constants as ops, _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,53 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, ENDS, "")
 
 
+def _needed(tree) -> tuple[str, ...]:
+    """Strings of which every match of a parsed pattern holds one: of all such sets that with the longest shortest string; empty where there is none."""
+    best: tuple[str, ...] = ()
+
+    def offer(found) -> None:
+        nonlocal best
+        if found and all(found) and (not best or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
+            best = tuple(found)
+
+    run = ""
+    for op, what in (*tree, (None, None)):
+        if op is ops.LITERAL:
+            run += chr(what)
+            continue
+        offer([run])
+        run = ""
+        if op is ops.SUBPATTERN:
+            offer(_needed(what[3]))
+        elif op is ops.BRANCH:
+            each = [_needed(x) for x in what[1]]
+            offer([x for found in each for x in found] if all(each) else [])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and what[0] > 0:
+            offer(_needed(what[2]))
+    return best
+
+
+@cache
+def needed(pattern: str) -> tuple[tuple[str, ...], bool]:
+    """Strings of which every text that the pattern fits holds one (empty: none known), and whether letters' case is ignored: then they are lower-cased, as the text must be."""
+    try:
+        found, fold = _needed(parser.parse(pattern)), bool(re.search(r"\(\?[a-z]*i", pattern))
+    except re.error:
+        return (), False
+    if fold:
+        found = tuple(x.lower() for x in found)
+    if not all(x.isascii() for x in found):
+        return (), False
+    return tuple(x for x in dict.fromkeys(found) if not any(y != x and y in x for y in found)), fold
+
+
+def fits(text: Column, low: Column, pattern: str) -> Column:
+    """text rlike pattern, with ASCII word boundaries; low is text in lower case. Texts that hold none of the strings which a match needs are not put to the pattern."""
+    strings, fold = needed(pattern)
+    some = [F.contains(low if fold else text, F.lit(x)) for x in strings]
+    return reduce(lambda a, b: a | b, some) & text.rlike(java(pattern)) if some else text.rlike(java(pattern))
+
+
 def lookup(key: Column, table: dict[str, str], default: Column) -> Column:
     found = F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
     return F.coalesce(found, default)
@@ -79,11 +127,14 @@ def is_text_source(path: Column) -> Column:
 # ---- fingerprints
 
 STRING, HEX, NUMBER, INTEGER = r"""["'`][^"'`]*["'`]""", r"\b0x[0-9a-fA-F]+\b", r"\b\d+(\.\d+)?\b", r"\b\d+\b"
+#: The same three for Java, with ASCII boundaries that are looked at only where the first digit stands.
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_]{})", r"(?![A-Za-z0-9_])"
+JAVA_HEX, JAVA_NUMBER, JAVA_INTEGER = "0" + _BEFORE.format("0") + "x[0-9a-fA-F]+" + _AFTER, r"\d" + _BEFORE.format(r"\d") + r"\d*(\.\d+)?" + _AFTER, r"\d" + _BEFORE.format(r"\d") + r"\d*" + _AFTER
 
 
 def normalize_snippet(text: Column) -> Column:
     """The shape of a line: strings, hex and other numbers and all identifiers but KEYWORDS become one mark, blanks are squeezed."""
-    steps = [(STRING, "STR"), (java(HEX), "HEX"), (java(NUMBER), "NUM"), (r"[A-Za-z_$][A-Za-z0-9_$]*", "\u0001$0\u0002"), ("\u0001(?!(?:" + "|".join(KEYWORDS) + ")\u0002)[^\u0002]*\u0002", "ID"), ("[\u0001\u0002]", ""), (BLANKS, " ")]
+    steps = [(STRING, "STR"), (JAVA_HEX, "HEX"), (JAVA_NUMBER, "NUM"), (r"[A-Za-z_$][A-Za-z0-9_$]*", "\u0001$0\u0002"), ("\u0001(?!(?:" + "|".join(KEYWORDS) + ")\u0002)[^\u0002]*\u0002", "ID"), ("[\u0001\u0002]", ""), (BLANKS, " ")]
     return F.substring(F.trim(reduce(lambda c, step: F.regexp_replace(c, F.lit(step[0]), F.lit(step[1])), steps, text)), 1, 200)
 
 
@@ -103,7 +154,7 @@ def clamp01(x: Column) -> Column:
 
 def template(text: Column) -> Column:
     """A line with strings, hex numbers and integers replaced by placeholders."""
-    steps = [(STRING, "<STR>"), (java(HEX), "<HEX>"), (java(INTEGER), "<NUM>"), (BLANKS, " ")]
+    steps = [(STRING, "<STR>"), (JAVA_HEX, "<HEX>"), (JAVA_INTEGER, "<NUM>"), (BLANKS, " ")]
     return F.substring(F.trim(reduce(lambda c, s: F.regexp_replace(c, F.lit(s[0]), F.lit(s[1])), steps, text)), 1, 160)
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions.tables import constant
-from siftspark.functions.text import classify_secret, java, redact, redact_entropy, signature, strip
+from siftspark.functions.text import classify_secret, fits, java, redact, redact_entropy, signature, strip
 from siftspark.operators.catalog import GROUPS, SECRETS, Group, Rule
 
 FINDING = "probe string, rule_id string, severity string, title string, message string, file string, line int, column int, snippet string, language string, fix_hint string, confidence double, tags array<string>, meta string"
 LAYERS = ("static", "dynamic", "fuzz", "meta")
+#: The white space that strip takes off.
+BLANK = " \t\n\v\f\r"
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -27,19 +29,19 @@ def file_fits(group: Group) -> Column:
     if group.unless_languages:
         tests.append(~F.col("language").isin(*group.unless_languages))
     if group.paths is not None:
-        tests.append(F.col("path").rlike(group.paths))
+        tests.append(fits(F.col("path"), F.lower("path"), group.paths))
     if group.unless_paths is not None:
-        tests.append(~F.col("path").rlike(group.unless_paths))
+        tests.append(~fits(F.col("path"), F.lower("path"), group.unless_paths))
     return reduce(lambda a, b: a & b, tests[1:], tests[0])
 
 
 def line_fits(group: Group) -> Column:
-    fits = F.lit(True) if group.longest is None else F.length("line") <= group.longest
-    return fits & ~any_of([strip(F.col("line")).startswith(mark) for mark in group.comments])
+    short = F.lit(True) if group.longest is None else F.length("line") <= group.longest
+    return short & ~any_of([F.col("_head").startswith(mark) for mark in group.comments])
 
 
 def rule_fires(rule: Rule) -> Column:
-    fires = F.col("line").rlike(java(rule.pattern))
+    fires = fits(F.col("line"), F.col("_low"), rule.pattern)
     return fires if rule.unless is None else fires & ~F.col("line").rlike(java(rule.unless))
 
 
@@ -50,7 +52,7 @@ def attributes(spark, groups: tuple[Group, ...]) -> DataFrame:
 
 
 def rule_numbers(groups: tuple[Group, ...]) -> Column:
-    """The numbers of the rules that fire on a line. A group's guards are tested once, and before its patterns."""
+    """The numbers of the rules that fire on a line, with _low, the line in lower case, and _head, the line without blanks before it. A group's guards are tested once, and before its patterns."""
     parts, at = [], 0
     for group in groups:
         own = F.array(*(F.when(rule_fires(r), F.lit(at + k)) for k, r in enumerate(group.rules)))
@@ -66,9 +68,11 @@ def scan_lines(lines: DataFrame, groups: tuple[Group, ...] = GROUPS) -> DataFram
     in snippet. Confidence falls in test files.
     """
     rest = [c for c in lines.columns if c not in ("path", "language", "line_no", "line")]
-    hits = lines.select(*rest, "path", "language", "line_no", "line", F.explode(rule_numbers(groups)).alias("rule"))
+    marked = lines.select(*rest, "path", "language", "line_no", "line", F.lower("line").alias("_low"), F.ltrim("line", F.lit(BLANK)).alias("_head"))
+    hits = marked.select(*rest, "path", "language", "line_no", "line", F.explode(rule_numbers(groups)).alias("rule"))
     found = hits.join(F.broadcast(attributes(lines.sparkSession, groups)), "rule")
-    tested = F.rlike(F.col("path"), F.col("test_paths")) if len({g.test_paths for g in groups}) > 1 else F.col("path").rlike(groups[0].test_paths or "(?!x)x")
+    # each pattern as a literal, which is compiled once; one that comes from a column is compiled again for each row
+    tested = any_of([(F.col("test_paths") == p) & F.col("path").rlike(p) for p in dict.fromkeys(g.test_paths for g in groups if g.test_paths)])
     snippet = F.substring(strip(F.col("line")), 1, 200)
     if SECRETS in groups:
         snippet = F.when(F.col("probe") == SECRETS.probe, F.substring(redacted(strip(F.col("line"))), 1, 200)).otherwise(snippet)

@@ -63,6 +63,8 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     rows = events.join(made, F.pmod("event_id", F.lit(len(TEMPLATES))) == F.col("i"))
     rows = rows.select("event_id", F.concat(F.lit("repo"), F.pmod("user_id", F.lit(REPOS)).cast("string")).alias("repo"), F.replace("at", F.lit("{U}"), F.col("user_id").cast("string")).alias("path"), F.replace("template", F.lit("{N}"), F.col("event_id").cast("string")).alias("line"))
+    # dealt in a fixed number of parts: small ones would be joined by their bytes, and the rules, which take most of the time, would run in one or two tasks
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "repo", "path")
     order = Window.partitionBy("repo", "path").orderBy("event_id")
     return rows.select("repo", "path", detect_language(F.col("path")).alias("language"), F.row_number().over(order).alias("line_no"), "line")
 
