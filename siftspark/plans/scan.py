@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.tables import constant
+from siftspark.functions.tables import constant, stored
 from siftspark.operators import catalog, findings as kept, history, lines as line_ops, report, structured
 from siftspark.sources import files as sources
 
@@ -164,6 +164,7 @@ def scan(spark: SparkSession, files: DataFrame, probes=(), layers=(), exec_: boo
     seen = files if walked else sources.walk(sources.without_gitignored(files) if gitignore else files)
     if only is not None and only.take(1):
         seen = sources.only_files(seen, only)
+    seen = stored(seen)  # some twenty steps read it
     lines = sources.lines(seen)
     context = Context(spark, seen, lines, {"custom_rules": custom_rules, "custom_error": custom_error, "command_results": command_results, "exec": exec_})
     chosen = registry.select(probes, layers, exec_=exec_)

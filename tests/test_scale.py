@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
 from siftspark.operators import catalog
+from siftspark.plans.scan import scan
 from siftspark.sources import fixtures
 
 
@@ -26,3 +27,13 @@ def test_strings_that_patterns_need(spark):
     ways = [(T.fits(F.col("line"), F.lower("line"), r.pattern), F.col("line").rlike(T.java(r.pattern))) for r in rules]
     differ = lines.agg(*(F.count(F.when(F.coalesce(a, F.lit(False)) != F.coalesce(b, F.lit(False)), 1)).alias(f"c{i}") for i, (a, b) in enumerate(ways)))
     assert set(differ.first()) == {0}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_computes_its_files_once(spark):
+    """All probes read one stored table of the files that a scan sees, not the steps that made it."""
+    files = fixtures.code_files(spark, SF)
+    assert "user_id" not in plan(scan(spark, files).raw).replace("InMemoryRelation", "")
