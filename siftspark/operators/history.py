@@ -18,7 +18,12 @@ def baseline_key() -> Column:
 
 def accept(findings: DataFrame) -> DataFrame:
     """The baseline (key) that accepts all findings, in order."""
-    return findings.select(baseline_key().alias("key")).distinct().orderBy("key")
+    return accepted_keys(findings).orderBy("key")
+
+
+def accepted_keys(findings: DataFrame) -> DataFrame:
+    """The same in no order, for a baseline that is only joined."""
+    return findings.select(baseline_key().alias("key")).distinct()
 
 
 def baseline_document(findings: DataFrame, root: str = "", created_at: Column | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
+from siftspark.functions.tables import constant, stored
 from siftspark.operators import catalog, findings as kept, fixes, history, lines as line_ops, report, structured
 from siftspark.sources import files as sources, fixtures
 
@@ -401,7 +402,7 @@ _BASELINE = f"b AS (SELECT DISTINCT {_KEY} AS key FROM f WHERE {_RANK} >= 3 UNIO
 
 
 def _baseline(spark, found):
-    return history.accept(kept.floor(found, "high")).union(spark.createDataFrame([("gone::a@@x",), ("gone::b@@y",)], "key string"))
+    return history.accepted_keys(kept.floor(found, "high")).union(constant(spark, [("gone::a@@x",), ("gone::b@@y",)], "key string"))
 
 
 @query(f"{FOUND}, {_BASELINE} SELECT repo, rule_id, file, line FROM f WHERE {_KEY} NOT IN (SELECT key FROM b)")

@@ -3,6 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
+from siftspark import queries
 from siftspark.functions import text as T
 from siftspark.operators import catalog
 from siftspark.plans.scan import scan
@@ -33,6 +34,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_joined_baselines_are_not_sorted(spark):
+    assert "Sort [" not in plan(queries.baseline_new(spark, SF))
+    assert "Sort [" not in plan(queries.baseline_accepted(spark, SF))
+
+
 def test_scan_computes_its_files_once(spark):
     """All probes read one stored table of the files that a scan sees, not the steps that made it."""
     files = fixtures.code_files(spark, SF)
