@@ -121,19 +121,34 @@ MOST_EXAMPLES = 5
 REPORTED = "probe:string,rule_id:string,severity:string,title:string,message:string,file:string,line:int,column:int,snippet:string,language:string,fix_hint:string,confidence:double,tags:array<string>,signature:string"
 
 
+def by_file(findings: DataFrame, *keys: str) -> DataFrame:
+    """What observe needs of findings, a row for each signature, file and value of keys: counts, the first place, the first finding's attributes.
+
+    Findings are read once, and one of each such group is left after map-side combining.
+    """
+    # the first finding's attributes, by a total order, without gathering a signature's findings
+    key = F.struct("layer_ord", "probe_ord", "rule_ord", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"))
+    shown = F.struct("rule_id", "probe", F.coalesce("language", F.lit("any")).alias("language"), "severity", "title", "tags", "fix_hint", F.coalesce(F.when(F.col("snippet") != "", F.col("snippet")), F.col("title"), F.lit("")).alias("shown"))
+    return findings.where("signature is not null").groupBy("signature", "file", *keys).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("layer_ord", "probe_ord", "rule_ord")).alias("place"), F.min(key).alias("key"), F.min_by(shown, key).alias("f"))
+
+
 def observe(findings: DataFrame, run_at: str | None = None) -> DataFrame:
     """Knowledge entries of one run: a row per signature with its count and its first five distinct files in report order.
 
     Files are first reduced to one row per signature and file, and only the five first are gathered.
     """
+    return observe_files(by_file(findings), run_at)
+
+
+def observe_files(reduced: DataFrame, run_at: str | None = None) -> DataFrame:
+    """observe of findings that by_file has reduced; rows of several keys add up."""
     order = Window.partitionBy("signature").orderBy("place", "file")
-    # the first finding's attributes, by a total order, without gathering a signature's findings
-    key = F.struct("layer_ord", "probe_ord", "rule_ord", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"))
-    first = findings.where("signature is not null").groupBy("signature").agg(F.count(F.lit(1)).alias("count"), F.min_by(F.struct("rule_id", "probe", F.coalesce("language", F.lit("any")).alias("language"), "severity", "title", "tags", "fix_hint", template(F.coalesce(F.when(F.col("snippet") != "", F.col("snippet")), F.col("title"), F.lit(""))).alias("template")), key).alias("f"))
-    files = findings.where("file is not null").groupBy("signature", "file").agg(F.min(F.struct("layer_ord", "probe_ord", "rule_ord")).alias("place")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EXAMPLES)
+    attributes = ("rule_id", "probe", "language", "severity", "title", "tags", "fix_hint")
+    first = reduced.groupBy("signature").agg(F.sum("count").alias("count"), F.min_by("f", "key").alias("f")).select("signature", "count", *(f"f.{c}" for c in attributes), template(F.col("f.shown")).alias("template"))
+    files = reduced.where("file is not null").groupBy("signature", "file").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EXAMPLES)
     shown = files.groupBy("signature").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "file"))), lambda x: x["file"]).alias("examples"))
     when = F.lit(run_at).cast("string")
-    return first.join(shown, "signature", "left").select("signature", "f.*", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), "count", when.alias("first_seen"), when.alias("last_seen"), F.lit("observed").alias("status"))
+    return first.join(shown, "signature", "left").select("signature", *attributes, "template", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), "count", when.alias("first_seen"), when.alias("last_seen"), F.lit("observed").alias("status"))
 
 
 def upsert(kb: DataFrame, seen: DataFrame) -> DataFrame:

@@ -450,9 +450,9 @@ seen AS (SELECT signature, any_value(rule_id) AS rule_id, any_value(severity) AS
 @query(f"{FOUND}, {_OBSERVED} SELECT signature, rule_id, severity, CASE WHEN {_RANK} >= 3 THEN 2 * n ELSE n END AS \"count\", examples FROM seen JOIN ex USING (signature)")
 def kb_upsert(spark, sf_dir):
     """A first run that saw what is high or worse, and a second that sees everything."""
-    found = raw_findings(spark, sf_dir)
-    first = history.observe(kept.floor(found, "high"), "2024-01-01")
-    return history.upsert(first, history.observe(found, "2024-01-02")).select("signature", "rule_id", "severity", "count", F.array_join("examples", ",").alias("examples"))
+    reduced = stored(history.by_file(raw_findings(spark, sf_dir), "severity"))
+    first = history.observe_files(kept.floor(reduced, "high"), "2024-01-01")
+    return history.upsert(first, history.observe_files(reduced, "2024-01-02")).select("signature", "rule_id", "severity", "count", F.array_join("examples", ",").alias("examples"))
 
 
 @query(f"{FOUND}, {_OBSERVED} SELECT signature, n AS \"count\", CASE WHEN n >= 3 THEN 'candidate-rule' ELSE 'observed' END AS status FROM seen")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftspark import queries
 from siftspark.functions import text as T
-from siftspark.operators import catalog
+from siftspark.operators import catalog, history
 from siftspark.plans.scan import scan
 from siftspark.sources import fixtures
 
@@ -34,6 +34,15 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_knowledge_reads_findings_once(spark):
+    """An observation reduces the findings once; a run that observes twice keeps what is left of them."""
+    found = queries.raw_findings(spark, SF)
+    assert "Generate explode" not in plan(queries.kb_upsert(spark, SF)) or "InMemoryRelation" in plan(queries.kb_upsert(spark, SF))
+    rows = found.unionByName(found.withColumn("severity", F.lit("low")).withColumn("rule_ord", F.col("rule_ord") + 100))  # a signature of two severities
+    one, two = history.observe(rows), history.observe_files(history.by_file(rows, "severity"))
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+
+
 def test_joined_baselines_are_not_sorted(spark):
     assert "Sort [" not in plan(queries.baseline_new(spark, SF))
     assert "Sort [" not in plan(queries.baseline_accepted(spark, SF))
